@@ -45,21 +45,24 @@ def compose(sql: str) -> str:
 def query(name: str, sql: str | None = None, rounded: str = "", digits: int = 6):
     """Register ``f(tables) -> DataFrame`` under ``name``.
 
-    ``rounded`` names the computed doubles that are rounded on both sides for the comparison;
-    the operators themselves do not round.
+    ``rounded`` names the computed doubles that are rounded on both sides for the comparison
+    (``name`` or ``name:digits``); the operators themselves do not round.
     """
-    columns = rounded.split()
+    columns = {}
+    for item in rounded.split():
+        column, _, places = item.partition(":")
+        columns[column] = int(places or digits)
 
     def register(build: Callable[[StarTables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(StarTables(spark, sf_dir))
-            return df.withColumns({c: F.round(c, digits) for c in columns}) if columns else df
+            return df.withColumns({c: F.round(c, d) for c, d in columns.items()}) if columns else df
 
         QUERIES[name] = run
         if sql is not None:
             text = compose(sql)
             if columns:
-                changes = ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+                changes = ", ".join(f"round({c}, {d}) AS {c}" for c, d in columns.items())
                 text = f"SELECT * REPLACE ({changes}) FROM (\n{text}\n) AS result"
             ORACLES[name] = text
         return build
