@@ -69,7 +69,7 @@ def product_metadata(
     )
 
 
-def panel(fact: DataFrame, periods: list[str]) -> DataFrame:
+def panel(fact: DataFrame, periods: list[str], with_median: bool = True) -> DataFrame:
     """Sums, distinct counts and the median price per SKU and period.
 
     The first aggregate brings the fact to one row per SKU, period and dealer; an order
@@ -92,15 +92,18 @@ def panel(fact: DataFrame, periods: list[str]) -> DataFrame:
         F.countDistinct("province_name").alias("n_provinces"),
         F.countDistinct("region").alias("n_regions"),
     )
+    sums = sums.withColumn("implied_price", rate(F.col("total_revenue"), F.col("total_quantity")))
+    if not with_median:
+        return sums
     medians = quantiles(fact, keys, "unit_price", {"median_unit_price": 0.5})
-    return sums.join(medians, keys, "left").withColumn(
-        "implied_price", rate(F.col("total_revenue"), F.col("total_quantity"))
-    )
+    return sums.join(medians, keys, "left")
 
 
-def monthly_panel(fact: DataFrame, metadata: DataFrame, cal: params.SalesCalendar) -> DataFrame:
+def monthly_panel(
+    fact: DataFrame, metadata: DataFrame, cal: params.SalesCalendar, with_median: bool = True
+) -> DataFrame:
     year, month = F.col("fiscal_year"), F.col("fiscal_month")
-    rows = panel(fact, ["fiscal_year", "fiscal_month"]).withColumns(
+    rows = panel(fact, ["fiscal_year", "fiscal_month"], with_median).withColumns(
         {
             "block_id": dates.block_label(year, month, cal),
             "period_month": dates.period_month(year, month, cal),
@@ -109,12 +112,14 @@ def monthly_panel(fact: DataFrame, metadata: DataFrame, cal: params.SalesCalenda
     return rows.join(metadata.select("product_code", *STATIC), "product_code", "left")
 
 
-def weekly_panel(fact: DataFrame, metadata: DataFrame, cal: params.SalesCalendar) -> DataFrame:
+def weekly_panel(
+    fact: DataFrame, metadata: DataFrame, cal: params.SalesCalendar, with_median: bool = True
+) -> DataFrame:
     """ISO week and month together: a week across a month end gives two rows."""
     start = F.col("week_start_date")
     source = fact.withColumn("week_start_date", dates.week_start(F.col("order_date")))
     year, month = F.col("fiscal_year"), F.col("fiscal_month")
-    rows = panel(source, ["fiscal_year", "fiscal_month", "week_start_date"]).withColumns(
+    rows = panel(source, ["fiscal_year", "fiscal_month", "week_start_date"], with_median).withColumns(
         {
             "week_end_date": F.date_add(start, 6),
             "iso_year": dates.iso_year(start),

@@ -17,17 +17,45 @@ PANEL_COLUMNS = [
 ]
 
 
-def metadata(t: StarTables):
+def build_metadata(t: StarTables):
     sold = t.block_fact("product_code", "order_date")
     return panels.product_metadata(t.product(), t.product_line(), t.product_group(), sold, CALENDAR.last_month_start)
 
 
+def metadata(t: StarTables):
+    """Product metadata, written once: the panels and every later step join it."""
+    return t.table("metadata", lambda: build_metadata(t))
+
+
+def sums_panel(t: StarTables):
+    """Monthly panel without median prices, for steps that read it once."""
+    return panels.monthly_panel(t.block_fact(*PANEL_COLUMNS), build_metadata(t), CALENDAR, with_median=False)
+
+
+def weekly_sums_panel(t: StarTables):
+    fact = t.block_fact(*PANEL_COLUMNS, "order_date")
+    return panels.weekly_panel(fact, build_metadata(t), CALENDAR, with_median=False)
+
+
+def build_monthly(t: StarTables, meta=None):
+    return panels.monthly_panel(t.block_fact(*PANEL_COLUMNS), build_metadata(t) if meta is None else meta, CALENDAR)
+
+
+def build_weekly(t: StarTables, meta=None):
+    return panels.weekly_panel(t.block_fact(*PANEL_COLUMNS, "order_date"), build_metadata(t) if meta is None else meta, CALENDAR)
+
+
 def monthly(t: StarTables):
-    return panels.monthly_panel(t.block_fact(*PANEL_COLUMNS), metadata(t), CALENDAR)
+    """Monthly panel, written once: totals, group medians and lags all read it."""
+    return t.table("monthly", lambda: build_monthly(t, metadata(t)))
 
 
-def weekly(t: StarTables):
-    return panels.weekly_panel(t.block_fact(*PANEL_COLUMNS, "order_date"), metadata(t), CALENDAR)
+def monthly_sums(t: StarTables):
+    """Monthly panel without median prices, written once."""
+    return t.table(
+        "monthly_sums",
+        lambda: panels.monthly_panel(t.block_fact(*PANEL_COLUMNS), metadata(t), CALENDAR, with_median=False),
+    )
 
 
 def monthly_features(t: StarTables):
@@ -40,12 +68,12 @@ def future_monthly(t: StarTables):
 
 def observed_quarter(t: StarTables):
     """Quantity of the current quarter, the base of the test scenarios."""
-    rows = t.block_fact("quantity").where(F.col("fiscal_year") == CALENDAR.year_b)
-    return rows.agg(F.sum("quantity").cast("double")).scalar()
+    rows = monthly_sums(t).where(F.col("period_month").isin(*CALENDAR.periods_b))
+    return rows.agg(F.sum("total_quantity").alias("observed"))
 
 
 def scenario_totals(t: StarTables):
-    observed = observed_quarter(t)
+    observed = observed_quarter(t).scalar()
     return {name: observed * factor for name, factor in SCENARIO_FACTORS.items()}
 
 
@@ -55,16 +83,18 @@ PRICE_CUTOFF = date(1995, 3, 31)
 
 def asp(t: StarTables):
     prices = t.product_price(last=PRICE_CUTOFF)
-    return forecast.asp_cascade(metadata(t), prices, monthly(t), PRICE_CUTOFF, CALENDAR.periods_b[-1])
+    return forecast.asp_cascade(metadata(t), prices, monthly_sums(t), PRICE_CUTOFF, CALENDAR.periods_b[-1])
 
 
 def share_forecast(t: StarTables):
-    return forecast.group_share_forecast(monthly(t), metadata(t), asp(t), scenario_totals(t), CALENDAR)
+    return forecast.group_share_forecast(monthly_sums(t), metadata(t), asp(t), scenario_totals(t), CALENDAR)
 
 
 def color_rows(t: StarTables):
     """SKU totals scaled to the base and the aggressive scenario."""
-    skus = forecast.sku_totals(forecast.enrich_missing(share_forecast(t), metadata(t)))
+    skus = t.table(
+        "sku_totals", lambda: forecast.sku_totals(forecast.enrich_missing(share_forecast(t), metadata(t)))
+    )
     totals = scenario_totals(t)
     base = forecast.rescale_to_total(skus, totals["Base"], "Group_Share_Base")
     return base.unionByName(forecast.rescale_to_total(skus, totals["Aggressive"], "Group_Share_Aggressive"))
@@ -151,24 +181,24 @@ LEFT JOIN (SELECT period_month, coalesce(sum(total_quantity), 0) AS q FROM {base
 cte("monthly_feat", feature_sql("monthly"))
 cte("monthly_future", f"SELECT * FROM ({feature_sql('monthly_all')}) WHERE period_month > 15")
 ROUND_MONTHLY = (
-    "median_unit_price:4 implied_price month_sin month_cos median_unit_price_lag1:4 implied_price_lag1 "
+    "median_unit_price:4 month_sin month_cos median_unit_price_lag1:4 "
     "sku_share_in_group_lagged sku_share_total_lagged price_vs_group_median_lag1 avg_qty_per_dealer_lag1"
 )
 
 
 @query("product_metadata", "SELECT * FROM meta")
 def _(t):
-    return metadata(t)
+    return build_metadata(t)
 
 
-@query("monthly_panel", "SELECT * FROM monthly", rounded="median_unit_price:4 implied_price")
+@query("monthly_panel", "SELECT * FROM monthly", rounded="median_unit_price:4")
 def _(t):
-    return monthly(t)
+    return build_monthly(t)
 
 
-@query("weekly_panel", "SELECT * FROM weekly", rounded="median_unit_price:4 implied_price")
+@query("weekly_panel", "SELECT * FROM weekly", rounded="median_unit_price:4")
 def _(t):
-    return weekly(t)
+    return build_weekly(t)
 
 
 @query(
@@ -177,7 +207,7 @@ def _(t):
     CAST(sum(CAST(total_revenue AS DECIMAL(20,2))) AS DOUBLE) AS sum_rev FROM weekly GROUP BY 1, 2, 3""",
 )
 def _(t):
-    return panels.period_summary(weekly(t), ["fiscal_year", "fiscal_month", "year_week"])
+    return panels.period_summary(weekly_sums_panel(t), ["fiscal_year", "fiscal_month", "year_week"])
 
 
 @query(
@@ -255,7 +285,7 @@ def _(t):
 
 
 def lag_rows(t):
-    return monthly(t).select("product_code", "period_month", "total_quantity")
+    return sums_panel(t).select("product_code", "period_month", "total_quantity")
 
 
 @query(
@@ -286,10 +316,10 @@ def _(t):
     "monthly_lag_features",
     """SELECT product_code, period_month, qty_lag_1, qty_lag_2, n_dealers_lag1, median_unit_price_lag1,
     implied_price_lag1, n_provinces_lag1, n_regions_lag1 FROM monthly_feat""",
-    rounded="median_unit_price_lag1:4 implied_price_lag1",
+    rounded="median_unit_price_lag1:4",
 )
 def _(t):
-    return features.monthly_lags(monthly(t)).select("product_code", "period_month", *features.MONTHLY_LAGS)
+    return features.monthly_lags(build_monthly(t)).select("product_code", "period_month", *features.MONTHLY_LAGS)
 
 
 @query(
@@ -321,11 +351,10 @@ def _(t):
     rounded="avg_qty_per_dealer_lag1",
 )
 def _(t):
-    rows = features.monthly_lags(monthly(t))
-    return rows.select(
-        "product_code",
-        "period_month",
-        F.try_divide(F.col("qty_lag_1"), F.col("n_dealers_lag1")).alias("avg_qty_per_dealer_lag1"),
+    quantity = features.safe_lag("total_quantity", 1, "period_month")
+    dealers = features.safe_lag("n_dealers", 1, "period_month")
+    return sums_panel(t).select(
+        "product_code", "period_month", F.try_divide(quantity, dealers).alias("avg_qty_per_dealer_lag1")
     )
 
 
@@ -366,7 +395,7 @@ ROUND_WEEKLY = "median_unit_price_lag_1w:4 implied_price_lag_1w qty_roll_mean_2w
     rounded=ROUND_WEEKLY,
 )
 def _(t):
-    return features.weekly_features(weekly(t), metadata(t)).select(
+    return features.weekly_features(build_weekly(t, metadata(t)), metadata(t)).select(
         "product_code", "fiscal_month", "period_week", *features.WEEKLY_LAGS
     )
 
@@ -381,7 +410,7 @@ def _(t):
 )
 def _(t):
     roll = features.safe_rolling_mean("total_quantity", 4, "period_week")
-    return weekly(t).select("product_code", "fiscal_month", "period_week", roll.alias("roll_4"))
+    return weekly_sums_panel(t).select("product_code", "fiscal_month", "period_week", roll.alias("roll_4"))
 
 
 @query(
@@ -392,7 +421,7 @@ def _(t):
     fiscal_year, fiscal_month ORDER BY week_start_date) AS INTEGER) AS week_of_month FROM weekly)""",
 )
 def _(t):
-    rows = weekly(t).select("product_code", "fiscal_year", "fiscal_month", "week_start_date")
+    rows = weekly_sums_panel(t).select("product_code", "fiscal_year", "fiscal_month", "week_start_date")
     return panels.week_of_month(rows, "week_start_date", ["product_code", "fiscal_year", "fiscal_month"])
 
 
@@ -448,7 +477,7 @@ FROM (SELECT product_code, period_week, total_quantity, n_dealers, median_unit_p
     rounded=ROUND_WEEKLY + " month_sin month_cos",
 )
 def _(t):
-    return features.future_weekly_rows(weekly(t), metadata(t), CALENDAR)
+    return features.future_weekly_rows(build_weekly(t, metadata(t)), metadata(t), CALENDAR)
 
 
 @query(
@@ -462,7 +491,7 @@ def _(t):
     future = explode_rows(
         metadata(t).select("product_code", "group_code_clean"), months, {"period_month": "int", "block_id": "string"}
     )
-    history = monthly(t).select(
+    history = monthly_sums(t).select(
         "product_code", "period_month", "block_id", "total_quantity", "n_dealers", "group_code_clean"
     )
     return history.unionByName(future, allowMissingColumns=True)
@@ -495,7 +524,7 @@ def _(t):
     LEFT JOIN monthly m ON m.product_code = f.product_code AND m.period_month = v.p""",
 )
 def _(t):
-    return features.zero_fill_panel(monthly(t), CALENDAR)
+    return features.zero_fill_panel(monthly_sums(t), CALENDAR)
 
 
 # baselines ---------------------------------------------------------------------
@@ -535,8 +564,8 @@ ROUND_METRICS = "mae rmse wmape smape mean_error bias_ratio"
 
 
 def baselines(t):
-    lagged = features.monthly_lags(monthly(t))
-    return forecast.baseline_predictions(lagged, CALENDAR)
+    quantity = {f"qty_lag_{n}": features.safe_lag("total_quantity", n, "period_month") for n in (1, 2)}
+    return forecast.baseline_predictions(monthly_sums(t).withColumns(quantity), CALENDAR)
 
 
 def long_baselines(t):
@@ -545,7 +574,7 @@ def long_baselines(t):
 
 @query("volume_segment", "SELECT * FROM volume")
 def _(t):
-    return forecast.volume_segments(monthly(t), CALENDAR)
+    return forecast.volume_segments(sums_panel(t), CALENDAR)
 
 
 @query("naive_last", "SELECT product_code, total_quantity, naive_last FROM baseline")
@@ -690,7 +719,7 @@ def _(t):
 )
 def _(t):
     sold = (
-        monthly(t)
+        monthly_sums(t)
         .where(F.col("period_month").isin(*CALENDAR.periods_b))
         .groupBy("product_code")
         .agg(F.sum("total_quantity").alias("sku_quantity"))
@@ -730,7 +759,7 @@ cte(
 )
 
 
-@query("rescale_to_total", "SELECT * FROM color_row", rounded="predicted_quantity estimated_revenue:2")
+@query("rescale_to_total", "SELECT * FROM color_row", rounded="predicted_quantity estimated_revenue:5")
 def _(t):
     return color_rows(t)
 
@@ -748,11 +777,9 @@ def _(t):
     rounded="expected:4 actual:4",
 )
 def _(t):
-    # one expected total per scenario, taken from the forecast that was rescaled
     rows = color_rows(t)
-    observed = t.block_fact("quantity").where(F.col("fiscal_year") == CALENDAR.year_b)
     expected = explode_rows(
-        observed.agg(F.sum("quantity").cast("double").alias("observed")),
+        observed_quarter(t),
         [
             {"model_scenario": f"Group_Share_{n}", "factor": SCENARIO_FACTORS[n]} for n in ("Base", "Aggressive")
         ],
@@ -815,7 +842,7 @@ FROM meta m LEFT JOIN monthly p USING (product_code) GROUP BY 1, 2, 3, 4)""",
 @query("yoy_change", "SELECT * FROM quarter_chg", rounded="q1_yoy_change")
 def _(t):
     skus = metadata(t).select("product_code", "group_code_clean", "base_color", "color")
-    return forecast.quarter_change(monthly(t), skus, CALENDAR)
+    return forecast.quarter_change(monthly_sums(t), skus, CALENDAR)
 
 
 @query(
@@ -840,4 +867,4 @@ def _(t):
     rounded="q1_yoy_change",
 )
 def _(t):
-    return forecast.slow_moving_flags(monthly(t), metadata(t), CALENDAR)
+    return forecast.slow_moving_flags(monthly_sums(t), metadata(t), CALENDAR)

@@ -9,6 +9,7 @@ from the sizes it measures at run time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,23 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions import dates, text
 from tradeloom.params import RfmThresholds, SalesCalendar
-
+from tradeloom.storage import materialize
+
+#: Declared, so that planning reads no file footers.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 MONEY = "decimal(15,2)"
 QUANTITY = "decimal(10,2)"
 
@@ -63,12 +80,25 @@ def day_range(column: str, first: date | None, last: date | None) -> Column:
 
 
 class StarTables:
+    """Tables of one folder. Frames asked for twice are built once per instance."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._built: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
+    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Like ``once``, written out because several steps read it."""
+        return self.once(f"table:{name}", lambda: materialize(build(), name))
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path = f"{self.folder}/{table}.parquet"
+        return self.once(f"raw:{table}", lambda: self.spark.read.schema(RAW_SCHEMAS[table]).parquet(path))
 
     # dimensions ---------------------------------------------------------------
 
