@@ -12,7 +12,8 @@ from tradeloom.functions import dates
 from tradeloom.operators.common import DOUBLE, join_null_safe, rate
 from tradeloom.operators.views import missing_geography
 
-N = F.lit(1)
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -52,7 +53,7 @@ def dq_summary(customers: DataFrame, fact: DataFrame) -> DataFrame:
         revenue(no_group).alias("sku_revenue"),
     )
 
-    def rows(df: DataFrame, entries: list[tuple[str, str, str | None]]) -> DataFrame:
+    def issues(df: DataFrame, entries: list[tuple[str, str, str | None]]) -> DataFrame:
         items = [
             F.struct(
                 F.lit(issue).alias("issue"),
@@ -63,27 +64,31 @@ def dq_summary(customers: DataFrame, fact: DataFrame) -> DataFrame:
         ]
         return df.select(F.explode(F.array(*items)).alias("i")).select("i.*")
 
-    return rows(
+    return issues(
         people,
         [("customers_missing_province", "province", None), ("customers_missing_tax_code", "tax", None)],
     ).unionByName(
-        rows(
+        issues(
             sales,
             [("fact_rows_missing_geography", "geo_rows", "geo_revenue"), ("sku_missing_group", "skus", "sku_revenue")],
         )
     )
 
 
-def row_count_check(tables: dict[str, DataFrame], expected: dict[str, int]) -> DataFrame:
-    parts = [
-        df.agg(F.count(N).alias("actual")).select(
-            F.lit(name).alias("table_name"),
-            "actual",
-            F.lit(expected[name]).cast("bigint").alias("expected"),
-            status(F.col("actual") == expected[name]).alias("status"),
+def row_count_check(tables: dict[str, DataFrame], expected: dict[str, Column | int]) -> DataFrame:
+    """Rows per table against the number that is expected."""
+    parts = []
+    for name, df in tables.items():
+        wanted = expected[name] if isinstance(expected[name], Column) else F.lit(expected[name])
+        counted = df.agg(rows().alias("actual")).withColumn("expected", wanted.cast("bigint"))
+        parts.append(
+            counted.select(
+                F.lit(name).alias("table_name"),
+                "actual",
+                "expected",
+                status(F.col("actual") == F.col("expected")).alias("status"),
+            )
         )
-        for name, df in tables.items()
-    ]
     return union_all(parts)
 
 
@@ -121,7 +126,7 @@ def merge_loss_check(before: DataFrame, after: DataFrame) -> DataFrame:
 
     def totals(df: DataFrame) -> Column:
         return F.struct(
-            F.count(N).alias("n"), F.sum("quantity").alias("quantity"), F.sum("line_total").alias("amount")
+            rows().alias("n"), F.sum("quantity").alias("quantity"), F.sum("line_total").alias("amount")
         )
 
     other = after.agg(totals(after)).scalar()
@@ -150,7 +155,7 @@ def unknown_impact(fact: DataFrame) -> DataFrame:
     unmapped = F.col("line_id_fk").isNull()
     monthly = fact.groupBy(dates.month_start(F.col("order_date")).alias("month")).agg(
         F.count_if(unmapped).alias("unknown_rows"),
-        F.count(N).alias("all_rows"),
+        rows().alias("all_rows"),
         F.coalesce(F.sum(F.when(unmapped, F.col("quantity"))), F.lit(0)).cast(DOUBLE).alias("unknown_quantity"),
         F.sum("quantity").cast(DOUBLE).alias("all_quantity"),
         F.coalesce(F.sum(F.when(unmapped, F.col("line_total"))), F.lit(0)).cast(DOUBLE).alias("unknown_revenue"),
@@ -184,7 +189,7 @@ def unknown_sku_detail(fact: DataFrame, last_month) -> DataFrame:
 
 def match_rate(fact: DataFrame, keys: DataFrame, fact_key: Column, key: Column) -> DataFrame:
     """Percent of fact rows whose normalised key exists; counted per key before the join."""
-    used = fact.groupBy(fact_key.alias("k")).agg(F.count(N).alias("n"))
+    used = fact.groupBy(fact_key.alias("k")).agg(rows().alias("n"))
     known = keys.select(key.alias("k")).where(F.col("k").isNotNull()).distinct().withColumn("hit", F.lit(True))
     joined = used.join(known, "k", "left")
     matched = F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0))
@@ -209,29 +214,29 @@ def dirty_values(df: DataFrame, column: str, longest: int = 15, label: str = par
 
 
 def damaged_share(df: DataFrame, damaged: Column) -> DataFrame:
-    return df.agg(F.count_if(damaged).alias("damaged_rows"), F.count(N).alias("all_rows")).withColumn(
+    return df.agg(F.count_if(damaged).alias("damaged_rows"), rows().alias("all_rows")).withColumn(
         "damaged_pct", rate(F.col("damaged_rows") * 100, F.col("all_rows"))
     )
 
 
 def unresolved_by_customer(fact: DataFrame, customers: DataFrame) -> DataFrame:
-    counts = fact.where(missing_geography()).groupBy("customer_code").agg(F.count(N).alias("fact_rows"))
+    counts = fact.where(missing_geography()).groupBy("customer_code").agg(rows().alias("fact_rows"))
     return counts.join(customers.select("customer_code", "customer_name", "address"), "customer_code")
 
 
 def column_presence(df: DataFrame, required: list[str], spark) -> DataFrame:
-    rows = [(c, "PASS" if c in df.columns else "FAIL", "present" if c in df.columns else "missing") for c in required]
-    return spark.createDataFrame(rows, "check string, status string, detail string")
+    found = [(c, "PASS" if c in df.columns else "FAIL", "present" if c in df.columns else "missing") for c in required]
+    return spark.createDataFrame(found, "check string, status string, detail string")
 
 
 def panel_audit(panel: DataFrame, future: DataFrame, expected_skus: Column) -> DataFrame:
     """Size, UNKNOWN share and empty future targets of the SKU panel."""
     unknown = F.col("group_code_clean") == params.UNKNOWN_CODE
     ahead = future.agg(
-        F.struct(F.count(N).alias("n"), F.count("total_quantity").alias("targets"))
+        F.struct(rows().alias("n"), F.count("total_quantity").alias("targets"))
     ).scalar()
     row = panel.agg(
-        F.count(N).alias("n_rows"),
+        rows().alias("n_rows"),
         F.countDistinct("product_code").alias("n_skus"),
         F.countDistinct(F.when(unknown, F.col("product_code"))).alias("n_unknown"),
         F.sum("total_quantity").alias("quantity"),
@@ -267,9 +272,9 @@ def period_set_check(panel: DataFrame, cal: params.SalesCalendar) -> DataFrame:
 
 def cross_gap_lag_audit(panel: DataFrame, lags: list[str], period: str, periods: list[int]) -> DataFrame:
     """NULL rate of every lag at the first periods after the gap; a value in the first one is a violation."""
-    rows = panel.where(F.col(period).isin(*periods)).select(period, *[F.col(c).cast(DOUBLE) for c in lags])
-    long = rows.unpivot([period], lags, "feature", "value")
-    grouped = long.groupBy("feature", period).agg(F.count(N).alias("total_rows"), F.count("value").alias("non_null_count"))
+    picked = panel.where(F.col(period).isin(*periods)).select(period, *[F.col(c).cast(DOUBLE) for c in lags])
+    long = picked.unpivot([period], lags, "feature", "value")
+    grouped = long.groupBy("feature", period).agg(rows().alias("total_rows"), F.count("value").alias("non_null_count"))
     violation = (
         F.when(F.col(period) != periods[0], "N/A (intra-block)")
         .when(F.col("non_null_count") > 0, "YES - CRITICAL VIOLATION")
@@ -292,9 +297,9 @@ def future_lag_audit(future: DataFrame, lags: list[str], first_month: int) -> Da
     per_sku = long.groupBy("feature", "product_code").agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
     spread = per_sku.groupBy("feature").agg(F.max("v").alias("max_variance"))
     later = long.where((F.col("fiscal_month") > first_month) & F.col("value").isNotNull())
-    beyond = later.groupBy("feature").agg(F.count(N).alias("beyond"))
+    beyond = later.groupBy("feature").agg(rows().alias("beyond"))
     grouped = long.groupBy("feature", "fiscal_month").agg(
-        F.count(N).alias("total_rows"), F.count("value").alias("non_null_count")
+        rows().alias("total_rows"), F.count("value").alias("non_null_count")
     )
     risk = (
         F.when((F.col("non_null_count") == 0) | (F.coalesce("beyond", F.lit(0)) == 0), "NO")
@@ -312,14 +317,14 @@ def future_lag_audit(future: DataFrame, lags: list[str], first_month: int) -> Da
 
 def feature_set_check(spark, train: DataFrame, future: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     """Missing, disallowed and target-derived features per set."""
-    rows = []
+    found = []
     for name, wanted in sets.items():
         gaps = [[f for f in wanted if f not in df.columns] for df in (train, future)]
         leaks = [f for f in wanted if f in params.TARGET_DERIVED]
         ok = not gaps[0] and not gaps[1] and not leaks
-        rows.append((name, "PASS" if ok else "FAIL", len(wanted), *[",".join(x) or "None" for x in (*gaps, leaks)]))
+        found.append((name, "PASS" if ok else "FAIL", len(wanted), *[",".join(x) or "None" for x in (*gaps, leaks)]))
     return spark.createDataFrame(
-        rows,
+        found,
         "feature_set string, status string, feature_count int, missing_in_train string, missing_in_future string, "
         "leakage string",
     )
@@ -331,13 +336,13 @@ def line_total_identity(fact: DataFrame, bound: float = 1000.0) -> DataFrame:
 
 
 def duplicate_lines(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("order_id", "product_code").agg(F.count(N).alias("n")).where("n > 1")
+    return fact.groupBy("order_id", "product_code").agg(rows().alias("n")).where("n > 1")
 
 
 def orphan_count(child: DataFrame, column: str, parent: DataFrame, key: str, name: str) -> DataFrame:
     keys = parent.select(F.col(key).alias(column)).distinct()
     lost = child.where(F.col(column).isNotNull()).select(column).join(keys, column, "left_anti")
-    return lost.agg(F.count(N).alias("violations")).withColumn("check", F.lit(name))
+    return lost.agg(rows().alias("violations")).withColumn("check", F.lit(name))
 
 
 def predicate_count(df: DataFrame, broken: Column, name: str) -> DataFrame:

@@ -759,7 +759,7 @@ cte(
 )
 
 
-@query("rescale_to_total", "SELECT * FROM color_row", rounded="predicted_quantity estimated_revenue:5")
+@query("rescale_to_total", "SELECT * FROM color_row", rounded="predicted_quantity estimated_revenue:6")
 def _(t):
     return color_rows(t)
 
