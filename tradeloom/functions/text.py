@@ -78,9 +78,19 @@ def is_product_code(text: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capital letter after every character that is neither letter nor digit."""
+    """Capital letter after every character that is neither letter nor digit.
+
+    A letter without a single capital (``ß``) stays, as in a letter-by-letter conversion.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
-    return F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
+
+    def capital(word: Column) -> Column:
+        first = F.substring(word, 1, 1)
+        upper = F.upper(first)
+        rest = F.substring(word, F.lit(2), F.length(word))
+        return F.concat(F.when(F.length(upper) == 1, upper).otherwise(first), rest)
+
+    return F.array_join(F.transform(words, capital), "")
 
 
 def recode(value: Column, mapping: dict[str, str]) -> Column:

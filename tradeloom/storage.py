@@ -36,3 +36,9 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def enable_checkpoints(spark: SparkSession) -> None:
+    """Let iterative trainers cut their lineage; keeps a folder that is already set."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_folder(spark))
