@@ -82,7 +82,7 @@ def _quantiles_large(counts: DataFrame, keys: list[str], value: str, probs: list
             picks.append(
                 F.max(F.when((first <= at) & (at < after), F.col(value).cast("double"))).alias(f"__{side}{i}")
             )
-    chosen = ranked.groupBy(*keys).agg(*picks, F.max(size).alias("__size"))
+    chosen = ranked.groupBy(*keys).agg(*picks, F.max(size).alias("__size")).where(F.col("__size").isNotNull())
     out = []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("__size") - 1)
@@ -100,17 +100,23 @@ def quantiles(
     large_group: int = LARGE_GROUP,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one column per entry of ``probs``."""
-    group = keys or ["__one"]
-    source = df if keys else df.withColumn("__one", F.lit(0))
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = source.where(F.col(value).isNotNull()).groupBy(*group, value).agg(n.alias("__n"))
-    sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("__distinct"))
-    large = F.broadcast(sizes.where(F.col("__distinct") > large_group).drop("__distinct"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
     wanted = list(probs.values())
-    small_part = _quantiles_small(join_null_safe(counts, large, group, "left_anti"), group, value, wanted)
-    large_part = _quantiles_large(join_null_safe(counts, large, group, "left_semi"), group, value, wanted)
-    both = small_part.unionByName(large_part)
-    return both.select(*keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)])
+    if keys:
+        sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__distinct"))
+        large = F.broadcast(sizes.where(F.col("__distinct") > large_group).drop("__distinct"))
+        small_counts = join_null_safe(counts, large, keys, "left_anti")
+        large_counts = join_null_safe(counts, large, keys, "left_semi")
+    else:
+        distinct = counts.agg(F.count(F.lit(1))).scalar()
+        small_counts = counts.where(distinct <= large_group)
+        large_counts = counts.where(distinct > large_group)
+    small_part = _quantiles_small(small_counts, keys, value, wanted)
+    both = small_part.unionByName(_quantiles_large(large_counts, keys, value, wanted))
+    return both.where(F.col("__q").isNotNull()).select(
+        *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
+    )
 
 
 def average_rank_pct(df: DataFrame, value: str, name: str) -> DataFrame:
