@@ -1,5 +1,6 @@
 """Exact ranks and quantiles on the range path, with a third of the rows on one key and value."""
 
+import functools
 import random
 
 import numpy as np
@@ -45,21 +46,23 @@ def test_quantiles_of_nothing(spark, limit):
     assert ranking.quantiles(empty, [], "v", {"p": 0.5}, large_group=limit).collect() == []
 
 
-def test_average_rank_matches_brute_force(skewed):
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_average_rank_matches_brute_force(skewed, limit):
     rows, df = skewed
     values = [v for *_, v in rows]
-    out = {r["k"]: r["p"] for r in ranking.average_rank_pct(df, "v", "p").collect()}
+    out = {r["k"]: r["p"] for r in ranking.average_rank_pct(df, "v", "p", limit).collect()}
     for k, _, v in rows[:200]:
         smaller, same = sum(x < v for x in values), sum(x == v for x in values)
         assert out[k] == pytest.approx((smaller + (same + 1) / 2) / len(values))
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
 @pytest.mark.parametrize("descending", [False, True])
-def test_row_numbers_are_a_total_order(skewed, descending):
+def test_row_numbers_are_a_total_order(skewed, descending, limit):
     import hashlib
 
     rows, df = skewed
-    out = ranking.row_numbers(df, "v", "k", "pos", descending).collect()
+    out = ranking.row_numbers(df, "v", "k", "pos", descending, limit).collect()
     want = sorted(rows, key=lambda r: (-r[2] if descending else r[2], hashlib.md5(r[0].encode()).hexdigest()))
     assert [r["k"] for r in sorted(out, key=lambda r: r["pos"])] == [r[0] for r in want]
 
@@ -84,7 +87,9 @@ def brute_ap(pairs):
     return out
 
 
-def test_auc_and_average_precision_with_ties(spark):
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_auc_and_average_precision_with_ties(spark, monkeypatch, limit):
+    monkeypatch.setattr(stats, "cumulate", functools.partial(ranking.cumulate, large_group=limit))
     rng = random.Random(3)
     pairs = [(int(rng.random() < 0.4), rng.choice([0.1, 0.2, 0.5, 0.5, 0.9])) for _ in range(300)]
     df = spark.createDataFrame([(str(i), y, p) for i, (y, p) in enumerate(pairs)], "k string, y int, p double")

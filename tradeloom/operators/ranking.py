@@ -2,10 +2,12 @@
 
 ``Window.orderBy`` without a partition, or with a key that holds a large part of the data,
 sorts that data in one task, and ``percentile`` keeps all distinct values of a group in one
-buffer. Here the values are first counted (shuffled on key *and* value), then cut into value
-ranges by an approximate quantile sketch of fixed size, so that a task sorts one range only.
-The counts in front of each range come from a small histogram. The sketch decides only how
-evenly the work spreads; ranks and quantiles are exact for any sketch.
+buffer. Here the values are first counted (shuffled on key *and* value) and the counts are
+written out, which gives their exact number. Up to ``LARGE_GROUP`` rows a window or
+``percentile`` over them is safe and cheap. Beyond that the values are cut into ranges by an
+approximate quantile sketch of fixed size, so that a task sorts one range only; the counts
+in front of each range come from a small histogram. The sketch decides only how evenly the
+work spreads: ranks and quantiles are exact on both ways.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.operators.common import join_null_safe
+from tradeloom.storage import materialize
 
-#: Groups with more distinct values than this are cut into ranges. The number of such groups
-#: is at most rows / LARGE_GROUP, which bounds the frame that is broadcast in ``quantiles``.
+#: Largest number of rows that one task may sort or one buffer may hold.
 LARGE_GROUP = 500_000
 RANGES = 128
 
@@ -27,24 +29,37 @@ def cumulate(
     value: str,
     weights: list[str],
     tie: str | None = None,
-    ranges: int = RANGES,
+    large_group: int = LARGE_GROUP,
 ) -> DataFrame:
     """Add ``before_<w>`` and ``all_<w>``: the weight of smaller values, and of all, in the group.
 
     ``counts`` has one row per (keys, value, tie) and no NULL in ``value`` or ``tie``.
     """
-    grid = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = F.percentile_approx(F.col(value).cast("double"), grid, F.lit(10_000))
+    table = materialize(counts, "counts")
+    order = [value] + ([tie] if tie else [])
+    if table.count() > large_group:
+        return _cumulate_ranges(table, keys, value, order, weights)
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return table.select(
+        "*",
+        *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"before_{w}") for w in weights],
+        *[F.sum(w).over(group).alias(f"all_{w}") for w in weights],
+    )
+
+
+def _cumulate_ranges(table: DataFrame, keys: list[str], value: str, order: list[str], weights: list[str]) -> DataFrame:
+    grid = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    sketch = F.expr(f"percentile_approx(cast({value} as double), array({grid}), 10000)")
     if keys:
-        edges = counts.groupBy(*keys).agg(sketch.alias("__edges"))
-        ranged = join_null_safe(counts, edges, keys)
+        ranged = join_null_safe(table, table.groupBy(*keys).agg(sketch.alias("__edges")), keys)
     else:
-        ranged = counts.withColumn("__edges", counts.agg(sketch).scalar())
-    below = F.filter("__edges", lambda e: e < F.col(value).cast("double"))
-    ranged = ranged.withColumn("__range", F.size(below)).drop("__edges")
+        ranged = table.withColumn("__edges", table.agg(sketch).scalar())
+    below = F.expr(f"size(filter(__edges, e -> e < cast({value} as double)))")
+    ranged = ranged.withColumn("__range", below).drop("__edges")
 
     sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(w).alias(f"__sum_{w}") for w in weights])
-    over_ranges = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    over_ranges = Window.partitionBy(*(keys or [F.lit(0)]))  # at most RANGES rows per group
     earlier = over_ranges.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     histogram = sums.select(
         *keys,
@@ -52,28 +67,22 @@ def cumulate(
         *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), F.lit(0)).alias(f"__start_{w}") for w in weights],
         *[F.sum(f"__sum_{w}").over(over_ranges).alias(f"all_{w}") for w in weights],
     )
-    order = [value] + ([tie] if tie else [])
-    inside = (
-        Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = join_null_safe(ranged, histogram, [*keys, "__range"])
     return joined.select(
-        *counts.columns,
-        *[
-            (F.col(f"__start_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"before_{w}")
-            for w in weights
-        ],
+        *table.columns,
+        *[(F.col(f"__start_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"before_{w}") for w in weights],
         *[F.col(f"all_{w}") for w in weights],
     )
 
 
 def _quantiles_small(counts: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    array = F.array(*[F.lit(float(p)) for p in probs])
-    return counts.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), array, F.col("__n")).alias("__q"))
+    array = ", ".join(f"{float(p)}D" for p in probs)
+    return counts.groupBy(*keys).agg(F.expr(f"percentile(cast({value} as double), array({array}), __n)").alias("__q"))
 
 
 def _quantiles_large(counts: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    ranked = cumulate(counts, keys, value, ["__n"])
+    ranked = _cumulate_ranges(counts, keys, value, [value], ["__n"])
     first, after, size = F.col("before___n"), F.col("before___n") + F.col("__n"), F.col("all___n")
     picks = []
     for i, p in enumerate(probs):
@@ -99,50 +108,58 @@ def quantiles(
     weight: str | None = None,
     large_group: int = LARGE_GROUP,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one column per entry of ``probs``."""
+    """Exact linear-interpolation quantiles, one column per entry of ``probs``.
+
+    Only groups with more than ``large_group`` distinct values take the way over ranges. There
+    are at most rows / large_group of them, so their keys are small enough to broadcast.
+    """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
+    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n")), "counts")
     wanted = list(probs.values())
-    if keys:
+    if counts.count() <= large_group:
+        found = _quantiles_small(counts, keys, value, wanted)
+    elif not keys:
+        found = _quantiles_large(counts, keys, value, wanted)
+    else:
         sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__distinct"))
         large = F.broadcast(sizes.where(F.col("__distinct") > large_group).drop("__distinct"))
-        small_counts = join_null_safe(counts, large, keys, "left_anti")
-        large_counts = join_null_safe(counts, large, keys, "left_semi")
-    else:
-        distinct = counts.agg(F.count(F.lit(1))).scalar()
-        small_counts = counts.where(distinct <= large_group)
-        large_counts = counts.where(distinct > large_group)
-    small_part = _quantiles_small(small_counts, keys, value, wanted)
-    both = small_part.unionByName(_quantiles_large(large_counts, keys, value, wanted))
-    return both.where(F.col("__q").isNotNull()).select(
+        found = _quantiles_small(join_null_safe(counts, large, keys, "left_anti"), keys, value, wanted).unionByName(
+            _quantiles_large(join_null_safe(counts, large, keys, "left_semi"), keys, value, wanted)
+        )
+    return found.where(F.col("__q").isNotNull()).select(
         *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
     )
 
 
-def average_rank_pct(df: DataFrame, value: str, name: str) -> DataFrame:
+def average_rank_pct(df: DataFrame, value: str, name: str, large_group: int = LARGE_GROUP) -> DataFrame:
     """Average rank of ties divided by the number of rows (ascending)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = cumulate(counts, [], value, ["__n"])
+    ranked = cumulate(counts, [], value, ["__n"], large_group=large_group)
     pct = (F.col("before___n") + (F.col("__n") + 1) / F.lit(2.0)) / F.col("all___n")
     return df.join(ranked.select(F.col(value), pct.alias(name)), value, "left").select(*df.columns, name)
 
 
-def row_numbers(df: DataFrame, value: str, key: str, name: str, descending: bool = False) -> DataFrame:
+def row_numbers(
+    df: DataFrame, value: str, key: str, name: str, descending: bool = False, large_group: int = LARGE_GROUP
+) -> DataFrame:
     """0-based position by ``value``; ties in the order of the MD5 of ``key``. Adds ``<name>_of``.
 
     The hash spreads a value shared by many rows evenly over 256 sub-groups.
     """
     order = -F.col(value) if descending else F.col(value)
-    rows = df.withColumn("__v", order).withColumn("__h", F.md5(F.col(key).cast("binary")))
-    rows = rows.withColumn("__t", F.substring("__h", 1, 2))
+    hashed = df.withColumn("__v", order).withColumn("__h", F.md5(F.col(key).cast("binary")))
+    rows = materialize(hashed.withColumn("__t", F.substring("__h", 1, 2)), "rows")
+    n = rows.count()
+    if n <= large_group:
+        position = F.row_number().over(Window.orderBy("__v", "__h", key)).cast("bigint") - 1
+        return rows.withColumn(name, position).withColumn(f"{name}_of", F.lit(n).cast("bigint")).select(*df.columns, name, f"{name}_of")
     counts = rows.groupBy("__v", "__t").agg(F.count(F.lit(1)).alias("__n"))
-    starts = cumulate(counts, [], "__v", ["__n"], tie="__t").select(
-        "__v", "__t", "before___n", F.col("all___n").alias(f"{name}_of")
-    )
+    starts = cumulate(counts, [], "__v", ["__n"], tie="__t", large_group=large_group).select("__v", "__t", "before___n")
     inside = Window.partitionBy("__v", "__t").orderBy("__h", key)
     return (
         rows.join(starts, ["__v", "__t"])
         .withColumn(name, F.col("before___n") + F.row_number().over(inside) - 1)
+        .withColumn(f"{name}_of", F.lit(n).cast("bigint"))
         .select(*df.columns, name, f"{name}_of")
     )
 

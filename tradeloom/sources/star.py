@@ -10,12 +10,12 @@ from the sizes it measures at run time.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.functions import dates, text
+from tradeloom.functions import dates
 from tradeloom.params import RfmThresholds, SalesCalendar
 from tradeloom.storage import materialize
 
@@ -70,13 +70,12 @@ FACT_COLUMNS = [
 
 def day_range(column: str, first: date | None, last: date | None) -> Column:
     """Range on the raw timestamp, so that it reaches the Parquet scan."""
-    cond = F.lit(True)
+    parts = ["true"]
     if first is not None:
-        cond = cond & (F.col(column) >= F.lit(datetime(first.year, first.month, first.day)).cast("timestamp_ntz"))
+        parts.append(f"{column} >= timestamp_ntz'{first} 00:00:00'")
     if last is not None:
-        after = last + timedelta(days=1)
-        cond = cond & (F.col(column) < F.lit(datetime(after.year, after.month, after.day)).cast("timestamp_ntz"))
-    return cond
+        parts.append(f"{column} < timestamp_ntz'{last + timedelta(days=1)} 00:00:00'")
+    return F.expr(" and ".join(parts))
 
 
 class StarTables:
@@ -103,19 +102,18 @@ class StarTables:
     # dimensions ---------------------------------------------------------------
 
     def product(self) -> DataFrame:
-        known = F.col("p_partkey") % 5 != 0
-        color = F.split("p_name", " ")[0]
-        first_letters = F.ascii(F.col("p_type")) * 10000 + F.ascii(F.substring("p_type", 2, 1)) * 100
-        brand_no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-        return self.raw("part").select(
-            F.col("p_partkey").cast("string").alias("product_code"),
-            F.col("p_name").alias("product_name"),
-            color.alias("color"),
-            text.base_color(color, BASE_COLORS).alias("base_color"),
-            F.when(known, first_letters + brand_no).alias("line_id_fk"),
-            F.when(known, F.concat_ws(" ", "p_type", "p_brand")).alias("line_name"),
-            F.when(known, F.col("p_type")).alias("group_code"),
-            F.when(known, F.col("p_type")).alias("group_name"),
+        """A line and its group are missing for every fifth product, as unmapped SKUs."""
+        recode = " ".join(f"when '{old}' then '{new}'" for old, new in BASE_COLORS.items())
+        return self.raw("part").selectExpr(
+            "cast(p_partkey as string) as product_code",
+            "p_name as product_name",
+            "split(p_name, ' ')[0] as color",
+            f"case split(p_name, ' ')[0] {recode} else split(p_name, ' ')[0] end as base_color",
+            "if(p_partkey % 5 <> 0, ascii(p_type) * 10000 + ascii(substring(p_type, 2, 1)) * 100"
+            " + cast(regexp_extract(p_brand, '([0-9]+)', 1) as int), null) as line_id_fk",
+            "if(p_partkey % 5 <> 0, concat_ws(' ', p_type, p_brand), null) as line_name",
+            "if(p_partkey % 5 <> 0, p_type, null) as group_code",
+            "if(p_partkey % 5 <> 0, p_type, null) as group_name",
         )
 
     def product_line(self) -> DataFrame:
@@ -154,42 +152,34 @@ class StarTables:
         )
 
     def customer(self) -> DataFrame:
-        key = F.col("c_custkey")
-        tax = (
-            F.when(key % 10 == 3, F.lit(None))
-            .when(key % 10 == 7, F.lit("  "))
-            .otherwise(F.lpad(key.cast("string"), 10, "0"))
-        )
-        return self.raw("customer").select(
-            key.cast("string").alias("customer_code"),
-            F.col("c_name").alias("customer_name"),
-            F.col("c_mktsegment").alias("customer_tier"),
-            F.when(key % 20 != 0, F.col("c_nationkey")).alias("province_id"),
-            tax.cast("string").alias("tax_code"),
-            F.concat(
-                F.lit("No. "),
-                key.cast("string"),
-                F.lit(", Nation_"),
-                F.col("c_nationkey").cast("string"),
-                F.lit(" street, NATION_"),
-                ((F.col("c_nationkey") + 7) % 25).cast("string"),
-            ).alias("address"),
+        """Some customers lack a province, some a tax code or have a blank one."""
+        return self.raw("customer").selectExpr(
+            "cast(c_custkey as string) as customer_code",
+            "c_name as customer_name",
+            "c_mktsegment as customer_tier",
+            "if(c_custkey % 20 <> 0, c_nationkey, null) as province_id",
+            "case when c_custkey % 10 = 3 then null when c_custkey % 10 = 7 then '  '"
+            " else lpad(cast(c_custkey as string), 10, '0') end as tax_code",
+            "concat('No. ', c_custkey, ', Nation_', c_nationkey, ' street, NATION_', (c_nationkey + 7) % 25) as address",
         )
 
     # orders -------------------------------------------------------------------
 
     def orders(self, first: date | None = None, last: date | None = None) -> DataFrame:
-        day = F.col("o_orderdate").cast("date")
+        day = "cast(o_orderdate as date)"
         return (
             self.raw("orders")
             .where(day_range("o_orderdate", first, last))
-            .select(
-                F.col("o_orderkey").alias("order_id"),
-                F.col("o_orderkey").cast("string").alias("so_number"),
-                day.alias("order_date"),
-                F.col("o_custkey").cast("string").alias("customer_code"),
-                F.col("o_totalprice").cast(MONEY).alias("total_amount"),
-                *[c.alias(n) for n, c in dates.calendar_parts(day).items()],
+            .selectExpr(
+                "o_orderkey as order_id",
+                "cast(o_orderkey as string) as so_number",
+                f"{day} as order_date",
+                "cast(o_custkey as string) as customer_code",
+                f"cast(o_totalprice as {MONEY}) as total_amount",
+                f"year({day}) as fiscal_year",
+                f"quarter({day}) as fiscal_quarter",
+                f"month({day}) as fiscal_month",
+                f"weekofyear({day}) as week_of_year",
             )
         )
 
@@ -206,18 +196,16 @@ class StarTables:
         )
 
     def lines(self) -> DataFrame:
-        unit_cents = F.expr(
-            "(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
-            " div (2 * cast(l_quantity as bigint))"
-        )
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").cast("string").alias("so_number"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line_id"),
-            F.col("l_partkey").cast("string").alias("product_code"),
-            F.col("l_quantity").cast(QUANTITY).alias("quantity"),
-            (unit_cents.cast("decimal(17,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY).alias("unit_price"),
-            F.col("l_extendedprice").cast(MONEY).alias("line_total"),
+        """The unit price is the line amount over the quantity, rounded half up in whole cents."""
+        return self.raw("lineitem").selectExpr(
+            "cast(l_orderkey as string) as so_number",
+            "l_orderkey as order_id",
+            "l_linenumber as line_id",
+            "cast(l_partkey as string) as product_code",
+            f"cast(l_quantity as {QUANTITY}) as quantity",
+            "cast(cast((2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
+            f" div (2 * cast(l_quantity as bigint)) as decimal(17,0)) * 0.01BD as {MONEY}) as unit_price",
+            f"cast(l_extendedprice as {MONEY}) as line_total",
         )
 
     def product_price(self, last: date | None = None) -> DataFrame:
