@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,19 +154,29 @@ def snapshot_features(fact: DataFrame, cal: params.SalesCalendar, limits: params
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def number(kind: str, cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when((F.col("kind") == kind) & cond, F.col("n"))), F.lit(0))
-
-    counts = (
-        explode_rows(first_seen, cutoffs, types)
-        .where(past)
-        .groupBy(*keys)
-        .agg(
-            number("order", past).alias("frequency"),
-            number("sku", past).alias("n_skus_bought"),
-            number("group", past).alias("n_groups_bought"),
-            number("order", day > F.date_sub(cut, 90)).alias("orders_recent_90d"),
+    def number(kind: str, cond: Column, name: str) -> Column:
+        hit = (F.col("kind") == kind) & cond
+        return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(name)
+
+    # all cutoffs side by side in one pass, then one row per customer and cutoff
+    per_cutoff = []
+    for c in cal.snapshot_dates:
+        known = day <= F.lit(c)
+        recent = known & (day > F.lit(c - timedelta(days=90)))
+        per_cutoff.append(
+            F.struct(
+                F.lit(c).alias("snapshot_date"),
+                number("order", known, "frequency"),
+                number("sku", known, "n_skus_bought"),
+                number("group", known, "n_groups_bought"),
+                number("order", recent, "orders_recent_90d"),
+            )
         )
+    counts = (
+        first_seen.groupBy("customer_code")
+        .agg(F.array(*per_cutoff).alias("s"))
+        .select("customer_code", F.explode("s").alias("s"))
+        .select("customer_code", "s.*")
     )
     snap = sums.join(counts, keys).withColumns(
         {

@@ -101,7 +101,7 @@ class StarTables:
 
     # dimensions ---------------------------------------------------------------
 
-    def product(self) -> DataFrame:
+    def product(self, *extra: str) -> DataFrame:
         """A line and its group are missing for every fifth product, as unmapped SKUs."""
         recode = " ".join(f"when '{old}' then '{new}'" for old, new in BASE_COLORS.items())
         return self.raw("part").selectExpr(
@@ -114,6 +114,7 @@ class StarTables:
             "if(p_partkey % 5 <> 0, concat_ws(' ', p_type, p_brand), null) as line_name",
             "if(p_partkey % 5 <> 0, p_type, null) as group_code",
             "if(p_partkey % 5 <> 0, p_type, null) as group_name",
+            *extra,
         )
 
     def product_line(self) -> DataFrame:
@@ -151,7 +152,7 @@ class StarTables:
             )
         )
 
-    def customer(self) -> DataFrame:
+    def customer(self, *extra: str) -> DataFrame:
         """Some customers lack a province, some a tax code or have a blank one."""
         return self.raw("customer").selectExpr(
             "cast(c_custkey as string) as customer_code",
@@ -161,11 +162,12 @@ class StarTables:
             "case when c_custkey % 10 = 3 then null when c_custkey % 10 = 7 then '  '"
             " else lpad(cast(c_custkey as string), 10, '0') end as tax_code",
             "concat('No. ', c_custkey, ', Nation_', c_nationkey, ' street, NATION_', (c_nationkey + 7) % 25) as address",
+            *extra,
         )
 
     # orders -------------------------------------------------------------------
 
-    def orders(self, first: date | None = None, last: date | None = None) -> DataFrame:
+    def orders(self, first: date | None = None, last: date | None = None, *extra: str) -> DataFrame:
         day = "cast(o_orderdate as date)"
         return (
             self.raw("orders")
@@ -180,6 +182,7 @@ class StarTables:
                 f"quarter({day}) as fiscal_quarter",
                 f"month({day}) as fiscal_month",
                 f"weekofyear({day}) as week_of_year",
+                *extra,
             )
         )
 
@@ -195,7 +198,7 @@ class StarTables:
             status.alias("processing_status"),
         )
 
-    def lines(self) -> DataFrame:
+    def lines(self, *extra: str) -> DataFrame:
         """The unit price is the line amount over the quantity, rounded half up in whole cents."""
         return self.raw("lineitem").selectExpr(
             "cast(l_orderkey as string) as so_number",
@@ -206,6 +209,7 @@ class StarTables:
             "cast(cast((2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
             f" div (2 * cast(l_quantity as bigint)) as decimal(17,0)) * 0.01BD as {MONEY}) as unit_price",
             f"cast(l_extendedprice as {MONEY}) as line_total",
+            *extra,
         )
 
     def product_price(self, last: date | None = None) -> DataFrame:
@@ -214,20 +218,22 @@ class StarTables:
         return fact.withColumnRenamed("order_date", "effective_from")
 
     def fact(self, *columns: str, first: date | None = None, last: date | None = None) -> DataFrame:
-        """Order lines with the requested dimension columns."""
+        """Order lines with the requested dimension columns; joins run on the integer keys."""
         wanted = list(columns) or FACT_COLUMNS
         need = set(wanted)
-        df = self.lines()
+        df = self.lines("l_partkey as part_key")
         need_province = bool(need & PROVINCE_COLUMNS)
         need_customer = need_province or bool(need & CUSTOMER_COLUMNS)
         if need_customer or need & ORDER_COLUMNS or first or last:
-            df = df.join(self.orders(first, last).drop("so_number", "total_amount"), "order_id")
+            orders = self.orders(first, last, "o_custkey as customer_key").drop("so_number", "total_amount")
+            df = df.join(orders, "order_id")
         if need_customer:
-            df = df.join(self.customer().select("customer_code", *CUSTOMER_COLUMNS), "customer_code")
+            customers = self.customer("c_custkey as customer_key").select("customer_key", *CUSTOMER_COLUMNS)
+            df = df.join(customers, "customer_key")
         if need_province:
             df = df.join(self.province(), "province_id", "left")
         if need & PRODUCT_COLUMNS:
-            df = df.join(self.product(), "product_code")
+            df = df.join(self.product("p_partkey as part_key").select("part_key", *PRODUCT_COLUMNS), "part_key")
         return df.select(*wanted)
 
     def block_fact(self, *columns: str, cal: SalesCalendar = CALENDAR) -> DataFrame:
