@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 DOUBLE = "double"
 
 
-def total(name: str) -> Column:
-    """Exact decimal sum as a double."""
-    return F.sum(name).cast(DOUBLE).alias(name)
-
-
 def rate(numerator: Column, denominator: Column) -> Column:
     """Quotient of two numbers as double; NULL when the denominator is 0."""
     return F.try_divide(numerator.cast(DOUBLE), denominator.cast(DOUBLE))
@@ -35,7 +30,3 @@ def explode_rows(df: DataFrame, rows: list[dict], types: dict[str, str]) -> Data
         F.struct(*[F.lit(row[name]).cast(kind).alias(name) for name, kind in types.items()]) for row in rows
     ]
     return df.withColumn("__entry", F.explode(F.array(*entries))).select(*df.columns, "__entry.*")
-
-
-def literal_frame(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions import text
 from tradeloom.operators import audit, features, kpis, views
 from tradeloom.plans.forecast_plans import (
-    build_monthly, future_monthly, metadata, monthly, monthly_sums, sums_panel, weekly_sums_panel,
+    build_monthly, future_monthly, metadata, monthly, sums_panel, weekly_sums_panel,
 )
 from tradeloom.plans.registry import query
 from tradeloom.sources.star import CALENDAR

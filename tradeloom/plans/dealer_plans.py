@@ -6,7 +6,8 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tradeloom import params
-from tradeloom.operators import dealers, stats, views
+from tradeloom.functions import dates
+from tradeloom.operators import dealers, stats
 from tradeloom.plans.registry import cte, query
 from tradeloom.plans.view_plans import SEGMENT_CASE, customer_rfm, equal_size_scores
 from tradeloom.sources.star import CALENDAR, THRESHOLDS, StarTables
@@ -163,8 +164,6 @@ def _(t):
     rounded="momentum",
 )
 def _(t):
-    from tradeloom.functions import dates
-
     monthly = t.fact("order_date", "quantity").groupBy(dates.month_start(F.col("order_date")).alias("month")).agg(
         F.sum("quantity").cast("double").alias("qty")
     )

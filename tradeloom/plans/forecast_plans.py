@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeloom import params
 from tradeloom.functions import dates
-from tradeloom.operators import features, forecast, panels
+from tradeloom.operators import features, forecast, panels, views
 from tradeloom.operators.common import explode_rows
 from tradeloom.plans.registry import cte, query
 from tradeloom.sources.star import CALENDAR, SCENARIO_FACTORS, StarTables
@@ -215,7 +215,8 @@ def _(t):
     "SELECT order_id, order_date, fiscal_year, fiscal_quarter, fiscal_month, week_of_year FROM sales_order",
 )
 def _(t):
-    return t.orders().select("order_id", "order_date", "fiscal_year", "fiscal_quarter", "fiscal_month", "week_of_year")
+    parts = dates.calendar_parts(F.col("order_date"))
+    return t.orders().select("order_id", "order_date", *[c.alias(n) for n, c in parts.items()])
 
 
 @query(
@@ -803,9 +804,7 @@ PIVOT = ["Group_Share_Base", "Group_Share_Aggressive"]
     rounded=" ".join(f"{s}_Qty:4 {s}_Rev:1" for s in PIVOT),
 )
 def _(t):
-    from tradeloom.operators.views import pivot_sums
-
-    return pivot_sums(
+    return views.pivot_sums(
         forecast.color_forecast(color_rows(t)),
         ["base_color", "color"],
         "model_scenario",

@@ -9,7 +9,7 @@ from tradeloom import params
 from tradeloom.operators import dealers, features, forecast, models, stats
 from tradeloom.plans.dealer_plans import snapshots
 from tradeloom.plans.forecast_plans import (
-    asp, build_weekly, future_monthly, metadata, monthly, monthly_features, share_forecast,
+    asp, build_weekly, future_monthly, metadata, monthly, monthly_features, monthly_sums, share_forecast,
 )
 from tradeloom.plans.registry import query
 from tradeloom.sources.star import CALENDAR, StarTables
@@ -46,8 +46,6 @@ def with_volume(t: StarTables, rows):
     """SELECT product_code, period_month, total_quantity, CASE WHEN period_month = 15 THEN 'validation' ELSE 'train' END AS side FROM monthly""",
 )
 def _(t):
-    from tradeloom.plans.forecast_plans import monthly_sums
-
     train, validation = models.temporal_split(monthly_sums(t), CALENDAR)
     columns = ["product_code", "period_month", "total_quantity"]
     return train.select(*columns, F.lit("train").alias("side")).unionByName(

@@ -4,12 +4,13 @@ The order tables hold no invoices, so documents, mails and names are put togethe
 their columns; both sides build the same text.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradeloom import params
 from tradeloom.functions import text
-from tradeloom.operators import audit, cleaning, documents, features
-from tradeloom.plans.forecast_plans import metadata, monthly
+from tradeloom.operators import audit, cleaning, documents
 from tradeloom.plans.registry import cte, query
 from tradeloom.sources import readers
 from tradeloom.sources.star import CALENDAR, FACT_COLUMNS, StarTables
@@ -700,8 +701,6 @@ def _(t):
 
 
 def folder(t: StarTables, name: str) -> str:
-    import uuid
-
     return f"{work_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
