@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe
+from tradeloom.llm import bpe, mixing, simhash
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,8 @@ def _over(name: str, build: Callable[[SparkSession, DataFrame], DataFrame]) -> Q
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_near_dedup": _over("documents", simhash.op1),
+    "op2_mixing_to_weights": _over("documents", mixing.op2),
     "op7_byte_level_bpe": _over("documents", bpe.op7),
 }
 ORACLES: dict[str, str] = {}
