@@ -1,4 +1,4 @@
-"""The corpus pipeline: each stage takes what the one before it kept."""
+"""The corpus pipeline: each stage takes what the one before it kept, and all but the last return documents."""
 
 from __future__ import annotations
 
@@ -6,17 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe
+from tradeloom.llm import bpe, mixing, quality, simhash, toxicity
 from tradeloom.llm.common import table
 from tradeloom.storage import materialize
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that it rejects go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: one document of each group stays."""
+    return simhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to target weights: a document is there as often as the mix takes it, or not at all."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: per document the number of ids and the digests of ids and decoded bytes."""
     return bpe.op7(spark, docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("byte_level_bpe", encode)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", good),
+    ("toxicity", clean),
+    ("simhash_near_dedup", distinct),
+    ("mixing_to_weights", mixed),
+    ("byte_level_bpe", encoded),
+]
 
 #: Trained models, seeded draws and BPE have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, mixing, simhash
+from tradeloom.llm import bpe, mixing, quality, simhash, toxicity
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _with_labels(build: Callable[[SparkSession, DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _over(name: str, build: Callable[[SparkSession, DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(spark, table(spark, sf_dir, name))
 
@@ -19,6 +23,8 @@ def _over(name: str, build: Callable[[SparkSession, DataFrame], DataFrame]) -> Q
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": _over("documents", simhash.op1),
     "op2_mixing_to_weights": _over("documents", mixing.op2),
+    "op3_quality_classifier": _with_labels(quality.op3),
+    "op4_toxicity": _with_labels(toxicity.op4),
     "op7_byte_level_bpe": _over("documents", bpe.op7),
 }
 ORACLES: dict[str, str] = {}
