@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, mixing, quality, simhash, toxicity, warc
+from tradeloom.llm import bpe, chat, mixing, quality, simhash, toxicity, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": _with_labels(quality.op3),
     "op4_toxicity": _with_labels(toxicity.op4),
     "op7_byte_level_bpe": _over("documents", bpe.op7),
+    "op8_chat_formatting": _over("conversations", chat.op8),
     "op10_warc": _over("pages", warc.op10),
 }
 ORACLES: dict[str, str] = {}
