@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, chat, licenses, mixing, quality, simhash, toxicity, warc
+from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, quality, simhash, toxicity, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing_to_weights": _over("documents", mixing.op2),
     "op3_quality_classifier": _with_labels(quality.op3),
     "op4_toxicity": _with_labels(toxicity.op4),
+    "op5_embedding_near_dedup": _over("embeddings", embeddings.op5),
     "op6_license_scan": _over("documents", licenses.op6),
     "op7_byte_level_bpe": _over("documents", bpe.op7),
     "op8_chat_formatting": _over("conversations", chat.op8),
