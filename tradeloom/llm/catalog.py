@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, quality, simhash, toxicity, warc
+from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, neighbours, quality, simhash, toxicity, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op6_license_scan": _over("documents", licenses.op6),
     "op7_byte_level_bpe": _over("documents", bpe.op7),
     "op8_chat_formatting": _over("conversations", chat.op8),
+    "op9_nearest_neighbours": _over("embeddings", neighbours.op9),
     "op10_warc": _over("pages", warc.op10),
 }
 ORACLES: dict[str, str] = {}
