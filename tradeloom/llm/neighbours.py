@@ -10,7 +10,7 @@ more than ``BLOCK`` points is cut into blocks by a hash, and each block is a pie
 
 *Search.* A graph links every centroid to its nearest ones. It has at most ``LISTS`` nodes and is held
 in memory. A query walks it best first, and takes every list whose centroid is at most ``RATIO``
-farther than the nearest. Queries are sent to the blocks of their lists; each task keeps, for a query,
+farther than the nearest, or more if these hold too few points. Queries are sent to the blocks of their lists; each task keeps, for a query,
 the best of all its blocks. The scores are inner products of the original vectors in double precision.
 
 Equal vectors are one point. With ties going to smaller ids, only its ``k`` + 1 smallest ids can be
@@ -91,8 +91,8 @@ class Graph:
         #: Entry points spread over the centroids.
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
 
-    def search(self, query: np.ndarray, ratio: float) -> list[int]:
-        """Centroids at most ``ratio`` farther than the nearest one found."""
+    def search(self, query: np.ndarray, ratio: float, sizes: dict[int, int], need: int) -> list[int]:
+        """Centroids at most ``ratio`` farther than the nearest one found, and the next ones until their lists hold ``need`` entries."""
 
         def far(which: np.ndarray) -> np.ndarray:
             return np.sqrt(((self.centres[which] - query) ** 2).sum(axis=1))
@@ -102,22 +102,29 @@ class Graph:
         queue = list(zip(far(self.entries).tolist(), self.entries.tolist()))
         heapq.heapify(queue)
         found: list[tuple[float, int]] = []
-        best = math.inf
+        best, held = math.inf, 0
         patience = 32  # steps that may be taken beyond the ratio, so that the walk crosses small gaps
         while queue:
             d, i = heapq.heappop(queue)
             best = min(best, d)
-            if d > best * (1 + ratio):
+            if d > best * (1 + ratio) and held >= need:
                 patience -= 1
                 if not patience:
                     break
             found.append((d, i))
+            held += sizes.get(i, 0)
             new = self.links[i][~seen[self.links[i]]]
             if len(new):
                 seen[new] = True
                 for pair in zip(far(new).tolist(), new.tolist()):
                     heapq.heappush(queue, pair)
-        return [i for d, i in found if d <= best * (1 + ratio)]
+        taken, held = [], 0
+        for d, i in sorted(found):
+            if d > best * (1 + ratio) and held >= need:
+                break
+            taken.append(i)
+            held += sizes.get(i, 0)
+        return taken
 
 
 def _assign(shipped):
@@ -144,7 +151,7 @@ def _probe(shipped):
     """Queries to (list, block, query) for every block of every list that the search takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, blocks = shipped.value["graph"], shipped.value["blocks"]
+        graph, blocks, sizes, need = (shipped.value[x] for x in ("graph", "blocks", "sizes", "need"))
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -152,7 +159,7 @@ def _probe(shipped):
                 x = np.column_stack([x, np.zeros(len(x))])
                 rows, lists, cells = [], [], []
                 for r, query in enumerate(x):
-                    for i in graph.search(query, RATIO):
+                    for i in graph.search(query, RATIO, sizes, need):
                         for b in range(blocks.get(i, 0)):
                             rows.append(r)
                             lists.append(i)
@@ -254,7 +261,8 @@ def _search(spark: SparkSession, points: DataFrame, asking: DataFrame, k: int, n
     n_blocks = F.coalesce(cut[F.col("list")], F.lit(1)) if cut is not None else F.lit(1)
     posted = posted.select("list", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v", "least")
     queries = materialize(asking.select("v").distinct().join(points.select("v", "id"), "v"), "ann-queries")
-    shipped_search = spark.sparkContext.broadcast({"graph": graph, "blocks": blocks})
+    # a point stands in at most ``COPIES`` lists, so these hold more than k points, or there are no more
+    shipped_search = spark.sparkContext.broadcast({"graph": graph, "blocks": blocks, "sizes": counts, "need": (k + 1) * COPIES})
     probes = queries.select("id", "v", F.lit(0).cast("bigint").alias("least")).mapInArrow(
         _probe(shipped_search), "list int, block int, kind int, id bigint, v array<double>, least bigint"
     )
