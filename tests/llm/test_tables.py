@@ -92,7 +92,7 @@ def test_neighbours_against_brute_force(spark, vectors, monkeypatch, block, size
         keys = [(-round(s, 9), v) for _, v, s in mine]
         assert keys == sorted(keys)
         scores = sorted(((-round(float(vector[v] @ vector[i]), 9), v) for v in vector if v != i))[:20]
-        assert len(mine) == len(scores)
+        assert len(mine) == len({v for _, v, _ in mine}) == len(scores), (i, mine)
         hits += len({v for _, v in scores} & {v for _, v, _ in mine})
         total += 20
     assert hits / total >= 0.95

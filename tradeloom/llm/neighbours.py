@@ -16,7 +16,7 @@ the best of all its blocks. The scores are inner products of the original vector
 Equal vectors are one point. With ties going to smaller ids, only its ``k`` + 1 smallest ids can be
 among the ``k`` nearest of anything, so only these are carried; equal queries are searched once. Both are
 exact. Rules: vectors that are null, zero or not finite take no part; vectors of another dimension than
-a query's are no candidates; a query with fewer candidates than ``k`` gets them all.
+a query's are no candidates; repeated rows count once; a query with fewer candidates than ``k`` gets them all.
 """
 
 from __future__ import annotations
@@ -216,9 +216,9 @@ def _scan(k: int):
         if best:
             n = [len(v[0]) for v in best.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(list(best), np.int64), n)), pa.array(np.concatenate([v[2] for v in best.values()])), pa.array(np.concatenate([v[0] for v in best.values()]))],
-                names=["query", "id", "score"],
-            )
+                [pa.array(np.repeat(np.array(list(best), np.int64), n)), *(pa.array(np.concatenate([v[c] for v in best.values()])) for c in (2, 1, 0))],
+                names=["query", "id", "least", "near"],
+            )
 
     return run
 
@@ -232,10 +232,10 @@ def nearest(
     rows = df.select(F.col(f"`{ids}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(usable("v")).withColumn("v", as_doubles("v"))
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last()))
-    members = rows.select("v", "vec_id").withColumn("place", place).filter(F.col("place") <= k + 1)  # cut before the shuffle, too
+    members = rows.select("v", "vec_id").distinct().withColumn("place", place).filter(F.col("place") <= k + 1)  # cut before the shuffle, too
     points = members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.min("vec_id").alias("least"))
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "ann-points")
-    asking = rows.filter("asks").select("vec_id", "v")
+    asking = rows.filter("asks").select("vec_id", "v").distinct()  # a row that is repeated asks once
     out = None
     for size in [r[0] for r in points.select(F.size("v").alias("s")).distinct().orderBy("s").collect()]:
         part = _search(spark, points.filter(F.size("v") == size), asking.filter(F.size("v") == size), k, n_parts, seed)
@@ -267,11 +267,16 @@ def _search(spark: SparkSession, points: DataFrame, asking: DataFrame, k: int, n
         _probe(shipped_search), "list int, block int, kind int, id bigint, v array<double>, least bigint"
     )
     both = posted.union(probes).repartition(n_parts, "list", "block").sortWithinPartitions("list", "block", "kind")
-    found = both.mapInArrow(_scan(k + 1), "query bigint, id bigint, score double")
-    by_query = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("least").asc_nulls_last()))
-    found = found.distinct().join(points.select("id", "members", "least"), "id").withColumn("place", by_query).filter(F.col("place") <= k + 1)
-    close = found.groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("close"))  # at most k + 1 points
-    close = close.join(queries.select(F.col("id").alias("query"), "v"), "query").select("v", "close")
+    found = both.mapInArrow(_scan(k + 1), "query bigint, id bigint, least bigint, near double")
+    found = found.groupBy("query", "id", "least").agg(F.max("near").alias("near"))  # a point can be in lists of several tasks
+    by_query = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "least"))
+    found = found.withColumn("place", by_query).filter(F.col("place") <= k + 1)
+    found = found.join(points.select("id", "members", F.col("v").alias("w")), "id").join(queries.select(F.col("id").alias("query"), "v"), "query")
+    # products of matrices round differently from block to block; the score is summed anew, in order
+    score = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    close = found.select("query", "v", "members", score.alias("score")).groupBy("query").agg(
+        F.first("v").alias("v"), F.collect_list(F.struct("score", "members")).alias("close")
+    )  # at most k + 1 points
     each = asking.join(close, "v").select(F.col("vec_id").alias("query_id"), F.explode("close").alias("c"))
     each = each.select("query_id", F.col("c.score").alias("score"), F.explode("c.members").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
