@@ -16,7 +16,7 @@ the best of all its blocks. The scores are inner products of the original vector
 Equal vectors are one point. With ties going to smaller ids, only its ``k`` + 1 smallest ids can be
 among the ``k`` nearest of anything, so only these are carried; equal queries are searched once. Both are
 exact. Rules: vectors that are null, zero or not finite take no part; vectors of another dimension than
-a query's are no candidates; repeated rows count once; a query with fewer candidates than ``k`` gets them all.
+a query's are no candidates; repeated rows count once; rows without an id take no part; a query with fewer candidates than ``k`` gets them all.
 """
 
 from __future__ import annotations
@@ -230,8 +230,8 @@ def nearest(
     bound_batches(df.sparkSession)
     spark, n_parts = df.sparkSession, parts_for(df)
     rows = df.select(F.col(f"`{ids}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.filter(usable("v")).withColumn("v", as_doubles("v"))
-    place = F.row_number().over(Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last()))
+    rows = rows.filter(usable("v") & F.col("vec_id").isNotNull()).withColumn("v", as_doubles("v"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     members = rows.select("v", "vec_id").distinct().withColumn("place", place).filter(F.col("place") <= k + 1)  # cut before the shuffle, too
     points = members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.min("vec_id").alias("least"))
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "ann-points")
@@ -252,7 +252,7 @@ def _search(spark: SparkSession, points: DataFrame, asking: DataFrame, k: int, n
     lists = int(min(LISTS, max(1, math.ceil(n / LIST_SIZE))))
     graph = Graph(centroids(lift(matrix(sample.column(0).combine_chunks()), largest), lists, seed))
     shipped = spark.sparkContext.broadcast({"graph": graph, "largest": largest})  # at most ``LISTS`` centroids
-    posted = points.select("id", "v", F.coalesce("least", F.lit(-(1 << 63))).alias("least"))
+    posted = points.select("id", "v", "least")
     posted = posted.mapInArrow(_assign(shipped), "list int, id bigint, v array<double>, least bigint")
     posted = materialize(posted, "ann-lists")
     counts = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}
