@@ -1,6 +1,5 @@
-"""Exact ranks and quantiles on the range path, with a third of the rows on one key and value."""
+"""Exact ranks and quantiles with a third of the rows on one key and value."""
 
-import functools
 import random
 
 import numpy as np
@@ -21,10 +20,9 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, g string, v double").cache()
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_by_group(skewed, limit):
+def test_quantiles_by_group(skewed):
     rows, df = skewed
-    out = ranking.quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, large_group=limit)
+    out = ranking.quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
     got = {r["g"]: (r["p10"], r["p50"], r["p99"]) for r in out.collect()}
     assert set(got) == {"hot", "a", "b", None}
     for g, values in got.items():
@@ -32,41 +30,65 @@ def test_quantiles_by_group(skewed, limit):
         assert values == pytest.approx(tuple(want))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_of_all_rows(skewed, limit):
+def test_quantiles_of_all_rows(skewed):
     rows, df = skewed
-    out = ranking.quantiles(df, [], "v", {"p25": 0.25, "p75": 0.75}, large_group=limit).collect()
+    out = ranking.quantiles(df, [], "v", {"p25": 0.25, "p75": 0.75}).collect()
     assert len(out) == 1
     assert tuple(out[0]) == pytest.approx(tuple(np.percentile([v for *_, v in rows], [25, 75])))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_of_nothing(spark, limit):
+def test_quantiles_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
-    assert ranking.quantiles(empty, [], "v", {"p": 0.5}, large_group=limit).collect() == []
+    assert ranking.quantiles(empty, [], "v", {"p": 0.5}).collect() == []
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_average_rank_matches_brute_force(skewed, limit):
+def test_average_rank_matches_brute_force(skewed):
     rows, df = skewed
     values = [v for *_, v in rows]
-    out = {r["k"]: r["p"] for r in ranking.average_rank_pct(df, "v", "p", limit).collect()}
+    out = {r["k"]: r["p"] for r in ranking.average_rank_pct(df, "v", "p").collect()}
     for k, _, v in rows[:200]:
         smaller, same = sum(x < v for x in values), sum(x == v for x in values)
         assert out[k] == pytest.approx((smaller + (same + 1) / 2) / len(values))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
 @pytest.mark.parametrize("descending", [False, True])
-def test_row_numbers_are_a_total_order(skewed, descending, limit):
+def test_row_numbers_are_a_total_order(skewed, descending):
     import hashlib
 
     rows, df = skewed
-    out = ranking.row_numbers(df, "v", "k", "pos", descending, limit).collect()
+    out = ranking.row_numbers(df, "v", "k", "pos", descending).collect()
     want = sorted(rows, key=lambda r: (-r[2] if descending else r[2], hashlib.md5(r[0].encode()).hexdigest()))
     assert [r["k"] for r in sorted(out, key=lambda r: r["pos"])] == [r[0] for r in want]
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_row_numbers_keep_missing_values_first(spark, descending):
+    data = [("a", 2.0), ("b", None), ("c", 1.0), ("d", None), ("e", 2.0), (None, 3.0)]
+    df = spark.createDataFrame(data, "k string, v double")
+    out = ranking.row_numbers(df, "v", "k", "pos", descending).collect()
+    assert sorted(r["pos"] for r in out) == list(range(6)) and {r["pos_of"] for r in out} == {6}
+    assert {r["k"] for r in out if r["pos"] < 2} == {"b", "d"}
+    values = [r["v"] for r in sorted(out, key=lambda r: r["pos"])][2:]
+    assert values == sorted(values, reverse=descending)
+
+
+def test_one_value_for_all_rows(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit(7.0).alias("v"))
+    out = ranking.row_numbers(df, "v", "k", "pos").agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()
+    assert tuple(out) == (0, 4999, 5000)
+
+
+def test_building_a_ranking_runs_no_job(spark):
+    df = spark.range(10).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    tracker, group = spark.sparkContext.statusTracker(), "ranking-is-lazy"
+    spark.sparkContext.setJobGroup(group, group)
+    ranking.row_numbers(df, "v", "k", "pos")
+    ranking.quantiles(df, [], "v", {"m": 0.5})
+    found = tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(found)
+
+
 def test_equal_size_score_sizes(spark):
     df = spark.range(798).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
     scored = ranking.equal_size_score(df, "v", "k", "s")
@@ -87,9 +109,7 @@ def brute_ap(pairs):
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_auc_and_average_precision_with_ties(spark, monkeypatch, limit):
-    monkeypatch.setattr(stats, "cumulate", functools.partial(ranking.cumulate, large_group=limit))
+def test_auc_and_average_precision_with_ties(spark):
     rng = random.Random(3)
     pairs = [(int(rng.random() < 0.4), rng.choice([0.1, 0.2, 0.5, 0.5, 0.9])) for _ in range(300)]
     df = spark.createDataFrame([(str(i), y, p) for i, (y, p) in enumerate(pairs)], "k string, y int, p double")

@@ -2,61 +2,44 @@
 
 ``Window.orderBy`` without a partition, or with a key that holds a large part of the data,
 sorts that data in one task, and ``percentile`` keeps all distinct values of a group in one
-buffer. Here the values are first counted (shuffled on key *and* value) and the counts are
-written out, which gives their exact number. Up to ``LARGE_GROUP`` rows a window or
-``percentile`` over them is safe and cheap. Beyond that the values are cut into ranges by an
-approximate quantile sketch of fixed size, so that a task sorts one range only; the counts
-in front of each range come from a small histogram. The sketch decides only how evenly the
-work spreads: ranks and quantiles are exact on both ways.
+buffer. Here values are counted first (shuffled on key *and* value). The counts are cut into
+ranges by an approximate quantile sketch over all of them, so a task sorts what one group has in
+one range, at most about one part in ``RANGES`` of all counts. The counts in front of each range come
+from a histogram with a row for each group and range. The sketch decides only how evenly the work
+spreads: ranks and quantiles are exact. There is one way for every size, it is lazy, and nothing is
+written; Spark reuses the exchange of the counts where they are read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.operators.common import join_null_safe
-from tradeloom.storage import materialize
 
-#: Largest number of rows that one task may sort or one buffer may hold.
-LARGE_GROUP = 500_000
-RANGES = 128
+#: Ranges of one side; there are the square of it. Finding a value's range takes two short searches.
+SIDE = 24
+RANGES = SIDE * SIDE
 
 
-def cumulate(
-    counts: DataFrame,
-    keys: list[str],
-    value: str,
-    weights: list[str],
-    tie: str | None = None,
-    large_group: int = LARGE_GROUP,
-) -> DataFrame:
-    """Add ``before_<w>`` and ``all_<w>``: the weight of smaller values, and of all, in the group.
+def _range_of(value: Column, edges: Column) -> Column:
+    """Number of edges below the value: first among every ``SIDE``-th edge, then among those between."""
+    coarse = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.get(edges, i * SIDE - 1)), lambda e: e < value)
+    first = F.size(coarse) * SIDE
+    fine = F.filter(F.slice(edges, first + 1, F.lit(SIDE - 1)), lambda e: e < value)
+    return first + F.size(fine)
 
-    ``counts`` has one row per (keys, value, tie) and no NULL in ``value`` or ``tie``.
-    """
-    table = materialize(counts, "counts")
-    order = [value] + ([tie] if tie else [])
-    if table.count() > large_group:
-        return _cumulate_ranges(table, keys, value, order, weights)
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    earlier = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return table.select(
-        "*",
-        *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"before_{w}") for w in weights],
-        *[F.sum(w).over(group).alias(f"all_{w}") for w in weights],
-    )
 
+def cumulate(counts: DataFrame, keys: list[str], value: str, weights: list[str], tie: str | None = None) -> DataFrame:
+    """Add ``before_<w>`` and ``all_<w>``: the weight of smaller values, and of all, in the group.
 
-def _cumulate_ranges(table: DataFrame, keys: list[str], value: str, order: list[str], weights: list[str]) -> DataFrame:
+    ``counts`` has one row per (keys, value, tie). A NULL value is smaller than any other.
+    """
     grid = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
-    sketch = F.expr(f"percentile_approx(cast({value} as double), array({grid}), 10000)")
-    if keys:
-        ranged = join_null_safe(table, table.groupBy(*keys).agg(sketch.alias("__edges")), keys)
-    else:
-        ranged = table.withColumn("__edges", table.agg(sketch).scalar())
-    below = F.expr(f"size(filter(__edges, e -> e < cast({value} as double)))")
-    ranged = ranged.withColumn("__range", below).drop("__edges")
+    edges = counts.agg(F.expr(f"percentile_approx(cast({value} as double), array({grid}), 20000)").alias("e")).scalar()
+    order = [value] + ([tie] if tie else [])
+    ranged = counts.withColumn("__edges", edges)
+    ranged = ranged.withColumn("__range", _range_of(F.col(value).cast("double"), F.col("__edges"))).drop("__edges")
 
     sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(w).alias(f"__sum_{w}") for w in weights])
     over_ranges = Window.partitionBy(*(keys or [F.lit(0)]))  # at most RANGES rows per group
@@ -68,98 +51,63 @@ def _cumulate_ranges(table: DataFrame, keys: list[str], value: str, order: list[
         *[F.sum(f"__sum_{w}").over(over_ranges).alias(f"all_{w}") for w in weights],
     )
     inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = join_null_safe(ranged, histogram, [*keys, "__range"])
+    placed = ranged.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"__in_{w}") for w in weights])
+    joined = join_null_safe(placed, histogram, [*keys, "__range"])
     return joined.select(
-        *table.columns,
-        *[(F.col(f"__start_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"before_{w}") for w in weights],
+        *counts.columns,
+        *[(F.col(f"__start_{w}") + F.col(f"__in_{w}")).alias(f"before_{w}") for w in weights],
         *[F.col(f"all_{w}") for w in weights],
     )
 
 
-def _quantiles_small(counts: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    array = ", ".join(f"{float(p)}D" for p in probs)
-    return counts.groupBy(*keys).agg(F.expr(f"percentile(cast({value} as double), array({array}), __n)").alias("__q"))
-
-
-def _quantiles_large(counts: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    ranked = _cumulate_ranges(counts, keys, value, [value], ["__n"])
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles, one column per entry of ``probs``; NULL values do not count."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
+    ranked = cumulate(counts, keys, value, ["__n"])
     first, after, size = F.col("before___n"), F.col("before___n") + F.col("__n"), F.col("all___n")
     picks = []
-    for i, p in enumerate(probs):
+    for i, p in enumerate(probs.values()):
         position = F.lit(float(p)) * (size - 1)
         for side, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            picks.append(
-                F.max(F.when((first <= at) & (at < after), F.col(value).cast("double"))).alias(f"__{side}{i}")
-            )
+            picks.append(F.max(F.when((first <= at) & (at < after), F.col(value).cast("double"))).alias(f"__{side}{i}"))
     chosen = ranked.groupBy(*keys).agg(*picks, F.max(size).alias("__size")).where(F.col("__size").isNotNull())
     out = []
-    for i, p in enumerate(probs):
+    for i, (name, p) in enumerate(probs.items()):
         position = F.lit(float(p)) * (F.col("__size") - 1)
         part = position - F.floor(position)
-        out.append(F.col(f"__lo{i}") * (1 - part) + F.col(f"__hi{i}") * part)
-    return chosen.select(*keys, F.array(*out).alias("__q"))
-
-
-def quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    weight: str | None = None,
-    large_group: int = LARGE_GROUP,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles, one column per entry of ``probs``.
-
-    Only groups with more than ``large_group`` distinct values take the way over ranges. There
-    are at most rows / large_group of them, so their keys are small enough to broadcast.
-    """
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n")), "counts")
-    wanted = list(probs.values())
-    if counts.count() <= large_group:
-        found = _quantiles_small(counts, keys, value, wanted)
-    elif not keys:
-        found = _quantiles_large(counts, keys, value, wanted)
-    else:
-        sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__distinct"))
-        large = F.broadcast(sizes.where(F.col("__distinct") > large_group).drop("__distinct"))
-        found = _quantiles_small(join_null_safe(counts, large, keys, "left_anti"), keys, value, wanted).unionByName(
-            _quantiles_large(join_null_safe(counts, large, keys, "left_semi"), keys, value, wanted)
-        )
-    return found.where(F.col("__q").isNotNull()).select(
-        *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
-    )
+        out.append((F.col(f"__lo{i}") * (1 - part) + F.col(f"__hi{i}") * part).alias(name))
+    return chosen.select(*keys, *out)
 
 
-def average_rank_pct(df: DataFrame, value: str, name: str, large_group: int = LARGE_GROUP) -> DataFrame:
+def average_rank_pct(df: DataFrame, value: str, name: str) -> DataFrame:
     """Average rank of ties divided by the number of rows (ascending)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = cumulate(counts, [], value, ["__n"], large_group=large_group)
+    ranked = cumulate(counts, [], value, ["__n"])
     pct = (F.col("before___n") + (F.col("__n") + 1) / F.lit(2.0)) / F.col("all___n")
     return df.join(ranked.select(F.col(value), pct.alias(name)), value, "left").select(*df.columns, name)
 
 
-def row_numbers(
-    df: DataFrame, value: str, key: str, name: str, descending: bool = False, large_group: int = LARGE_GROUP
-) -> DataFrame:
-    """0-based position by ``value``; ties in the order of the MD5 of ``key``. Adds ``<name>_of``.
+#: Hash letters that split the rows of one value: 16 to this power sub-groups.
+TIE_LETTERS = 3
+
+
+def row_numbers(df: DataFrame, value: str, key: str, name: str, descending: bool = False) -> DataFrame:
+    """0-based position by ``value`` (NULL first); ties in the order of the MD5 of ``key``. Adds ``<name>_of``.
 
-    The hash spreads a value shared by many rows evenly over 256 sub-groups.
+    The hash spreads a value shared by many rows evenly over sub-groups.
     """
     order = -F.col(value) if descending else F.col(value)
-    hashed = df.withColumn("__v", order).withColumn("__h", F.md5(F.col(key).cast("binary")))
-    rows = materialize(hashed.withColumn("__t", F.substring("__h", 1, 2)), "rows")
-    n = rows.count()
-    if n <= large_group:
-        position = F.row_number().over(Window.orderBy("__v", "__h", key)).cast("bigint") - 1
-        return rows.withColumn(name, position).withColumn(f"{name}_of", F.lit(n).cast("bigint")).select(*df.columns, name, f"{name}_of")
+    hashed = df.withColumn("__v", order).withColumn("__h", F.coalesce(F.md5(F.col(key).cast("binary")), F.lit("")))
+    rows = hashed.withColumn("__t", F.substring("__h", 1, TIE_LETTERS))
     counts = rows.groupBy("__v", "__t").agg(F.count(F.lit(1)).alias("__n"))
-    starts = cumulate(counts, [], "__v", ["__n"], tie="__t", large_group=large_group).select("__v", "__t", "before___n")
+    starts = cumulate(counts, [], "__v", ["__n"], tie="__t").select("__v", "__t", "before___n", "all___n")
     inside = Window.partitionBy("__v", "__t").orderBy("__h", key)
+    placed = rows.withColumn("__in", F.row_number().over(inside))
     return (
-        rows.join(starts, ["__v", "__t"])
-        .withColumn(name, F.col("before___n") + F.row_number().over(inside) - 1)
-        .withColumn(f"{name}_of", F.lit(n).cast("bigint"))
+        join_null_safe(placed, starts, ["__v", "__t"])
+        .withColumn(name, F.col("before___n") + F.col("__in") - 1)
+        .withColumn(f"{name}_of", F.col("all___n"))
         .select(*df.columns, name, f"{name}_of")
     )
 
