@@ -30,7 +30,7 @@ from tradeloom.llm.common import bound_batches, free_name
 
 #: A worker keeps two generations of so many encoded pieces and as many words between spaces, none
 #: longer than this, and so many pairs. They bound memory only; a piece that is not remembered is encoded again.
-MEMORY_PIECES = 250_000
+MEMORY_PIECES = 160_000
 MEMORY_CHARS = 64
 MEMORY_PAIRS = 1_000_000
 
