@@ -151,21 +151,24 @@ def week_month_reconcile(weekly: DataFrame, monthly: DataFrame, tolerance: float
 
 
 def unknown_impact(fact: DataFrame) -> DataFrame:
-    """Rows, quantity and revenue of unmapped SKUs per month, with their shares of the month."""
+    """Rows, quantity and revenue of unmapped SKUs per month and, with ``is_total``, over all months, with their shares."""
     unmapped = F.col("line_id_fk").isNull()
     monthly = fact.groupBy(dates.month_start(F.col("order_date")).alias("month")).agg(
         F.count_if(unmapped).alias("unknown_rows"),
         rows().alias("all_rows"),
-        F.coalesce(F.sum(F.when(unmapped, F.col("quantity"))), F.lit(0)).cast(DOUBLE).alias("unknown_quantity"),
-        F.sum("quantity").cast(DOUBLE).alias("all_quantity"),
-        F.coalesce(F.sum(F.when(unmapped, F.col("line_total"))), F.lit(0)).cast(DOUBLE).alias("unknown_revenue"),
-        F.sum("line_total").cast(DOUBLE).alias("all_revenue"),
+        F.coalesce(F.sum(F.when(unmapped, F.col("quantity"))), F.lit(0)).alias("unknown_quantity"),
+        F.sum("quantity").alias("all_quantity"),
+        F.coalesce(F.sum(F.when(unmapped, F.col("line_total"))), F.lit(0)).alias("unknown_revenue"),
+        F.sum("line_total").alias("all_revenue"),
     )
-    return monthly.select(
+    sums = [c for c in monthly.columns if c != "month"]
+    both = monthly.rollup("month").agg(*[F.sum(c).alias(c) for c in sums], (F.grouping("month") == 1).alias("is_total"))
+    return both.select(
         "month",
+        "is_total",
         "unknown_rows",
-        "unknown_quantity",
-        "unknown_revenue",
+        F.col("unknown_quantity").cast(DOUBLE).alias("unknown_quantity"),
+        F.col("unknown_revenue").cast(DOUBLE).alias("unknown_revenue"),
         *[
             rate(F.col(f"unknown_{c}") * 100, F.col(f"all_{c}")).alias(f"{c}_share_pct")
             for c in ("rows", "quantity", "revenue")
@@ -229,26 +232,52 @@ def column_presence(df: DataFrame, required: list[str], spark) -> DataFrame:
     return spark.createDataFrame(found, "check string, status string, detail string")
 
 
-def panel_audit(panel: DataFrame, future: DataFrame, expected_skus: Column) -> DataFrame:
-    """Size, UNKNOWN share and empty future targets of the SKU panel."""
+def panel_audit(panel: DataFrame, weekly: DataFrame, future: DataFrame, future_weekly: DataFrame, fact: DataFrame) -> DataFrame:
+    """Both SKU panels against the sales they come from: rows, SKUs, sums, UNKNOWN share, empty future targets.
+
+    ``fact`` has the lines of the panels' months: product_code, group_code, quantity, line_total.
+    """
     unknown = F.col("group_code_clean") == params.UNKNOWN_CODE
-    ahead = future.agg(
-        F.struct(rows().alias("n"), F.count("total_quantity").alias("targets"))
+
+    def targets(df: DataFrame) -> Column:
+        return df.agg(F.struct(rows().alias("n"), F.count("total_quantity").alias("targets"))).scalar()
+
+    def totals(df: DataFrame) -> list[Column]:
+        return [rows().alias("n"), F.sum("total_quantity").alias("quantity"), F.sum("total_revenue").alias("revenue")]
+
+    sales = fact.agg(
+        F.struct(
+            F.countDistinct("product_code").alias("skus"),
+            F.sum("quantity").cast(DOUBLE).alias("quantity"),
+            F.sum("line_total").cast(DOUBLE).alias("revenue"),
+            F.coalesce(F.sum(F.when(F.col("group_code").isNull(), F.col("line_total"))), F.lit(0)).cast(DOUBLE).alias("unmapped"),
+        )
     ).scalar()
     row = panel.agg(
-        rows().alias("n_rows"),
+        *totals(panel),
         F.countDistinct("product_code").alias("n_skus"),
-        F.countDistinct(F.when(unknown, F.col("product_code"))).alias("n_unknown"),
-        F.sum("total_quantity").alias("quantity"),
-    ).select("*", ahead.alias("f"), expected_skus.alias("expected_skus"))
+        F.coalesce(F.sum(F.when(unknown, F.col("total_revenue"))), F.lit(0.0)).alias("unknown_revenue"),
+    ).select("*", sales.alias("s"), weekly.agg(F.struct(*totals(weekly))).scalar().alias("w"), targets(future).alias("f"), targets(future_weekly).alias("fw"))
+
+    def close(a: Column, b: Column) -> Column:
+        return F.abs(a - b) <= 1
+
+    def whole(c: Column) -> Column:
+        return F.round(c).cast("bigint")
+
     return checks(
         row,
         [
-            ("panel has rows", F.col("n_rows") > 0, F.col("n_rows")),
-            ("SKU count matches sales", F.col("n_skus") == F.col("expected_skus"), F.col("n_skus")),
-            ("unknown SKUs are labelled", F.col("n_unknown") > 0, F.col("n_unknown")),
-            ("future targets are empty", F.col("f.targets") == 0, F.col("f.n")),
-            ("quantity total", F.col("quantity") > 0, F.col("quantity").cast("bigint")),
+            ("monthly panel has rows", F.col("n") > 0, F.col("n")),
+            ("weekly panel has no fewer rows", F.col("w.n") >= F.col("n"), F.col("w.n")),
+            ("SKU count matches sales", F.col("n_skus") == F.col("s.skus"), F.col("n_skus")),
+            ("monthly quantity matches sales", close(F.col("quantity"), F.col("s.quantity")), whole(F.col("quantity"))),
+            ("weekly quantity matches sales", close(F.col("w.quantity"), F.col("s.quantity")), whole(F.col("w.quantity"))),
+            ("monthly revenue matches sales", close(F.col("revenue"), F.col("s.revenue")), whole(F.col("revenue"))),
+            ("weekly revenue matches sales", close(F.col("w.revenue"), F.col("s.revenue")), whole(F.col("w.revenue"))),
+            ("unknown revenue matches unmapped sales", close(F.col("unknown_revenue"), F.col("s.unmapped")), whole(F.col("unknown_revenue"))),
+            ("monthly future targets are empty", F.col("f.targets") == 0, F.col("f.n")),
+            ("weekly future targets are empty", F.col("fw.targets") == 0, F.col("fw.n")),
         ],
     )
 
@@ -289,27 +318,27 @@ def cross_gap_lag_audit(panel: DataFrame, lags: list[str], period: str, periods:
     )
 
 
-def future_lag_audit(future: DataFrame, lags: list[str], first_month: int) -> DataFrame:
-    """Lag coverage per future month; values beyond the first month must be frozen per SKU."""
-    long = future.select("product_code", "fiscal_month", *[F.col(c).cast(DOUBLE) for c in lags]).unpivot(
-        ["product_code", "fiscal_month"], lags, "feature", "value"
+def future_lag_audit(future: DataFrame, lags: list[str], first: int, period: str = "fiscal_month") -> DataFrame:
+    """Lag coverage per future period; values beyond the first one must be frozen per SKU."""
+    long = future.select("product_code", period, *[F.col(c).cast(DOUBLE) for c in lags]).unpivot(
+        ["product_code", period], lags, "feature", "value"
     )
     per_sku = long.groupBy("feature", "product_code").agg(F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("v"))
     spread = per_sku.groupBy("feature").agg(F.max("v").alias("max_variance"))
-    later = long.where((F.col("fiscal_month") > first_month) & F.col("value").isNotNull())
+    later = long.where((F.col(period) > first) & F.col("value").isNotNull())
     beyond = later.groupBy("feature").agg(rows().alias("beyond"))
-    grouped = long.groupBy("feature", "fiscal_month").agg(
-        rows().alias("total_rows"), F.count("value").alias("non_null_count")
-    )
+    grouped = long.groupBy("feature", period).agg(rows().alias("total_rows"), F.count("value").alias("non_null_count"))
     risk = (
         F.when((F.col("non_null_count") == 0) | (F.coalesce("beyond", F.lit(0)) == 0), "NO")
         .when(F.col("max_variance") == 0, "NO")
         .otherwise("POSSIBLE CASCADE")
     )
+    empty = F.col("total_rows") - F.col("non_null_count")
     return (
         grouped.join(F.broadcast(spread), "feature")
         .join(F.broadcast(beyond), "feature", "left")
-        .withColumn("null_count", F.col("total_rows") - F.col("non_null_count"))
+        .withColumn("null_count", empty)
+        .withColumn("null_rate_pct", rate(empty * 100, F.col("total_rows")))
         .withColumn("cascade_risk", risk)
         .drop("max_variance", "beyond")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -332,25 +334,27 @@ def slow_moving_flags(panel: DataFrame, metadata: DataFrame, cal: params.SalesCa
     ]
     flag = first_match(cases, "healthy")
     drop = F.format_string("%.1f", F.bround(F.abs(change * 100), 1))
-    reasons = {
-        "new_or_uncertain": F.lit("SKU appeared very recently (Mar26 or Q1_2026) with no Q1_25 history."),
-        "red_no_demand": F.lit("Q1_2026 total_quantity = 0."),
-        "amber_slow_moving": F.concat(
-            F.lit("Q1_2026 qty ("), _number_text(now), F.lit(") is <= group P10/10 threshold ("), limit_text, F.lit(").")
-        ),
-        "declining_activity": F.concat(F.lit("Q1_2026 qty dropped by "), drop, F.lit("% vs Q1_2025.")),
-    }
-    actions = {
-        "new_or_uncertain": "Monitor demand closely. Do not classify as slow-moving yet.",
-        "red_no_demand": "Phase out or stop production unless required for strategic reasons.",
-        "amber_slow_moving": "Deprioritize in production. Liquidate excess inventory.",
-        "declining_activity": "Review marketing/pricing. Reduce production forecast.",
+    names = {
+        "month": cal.as_of.strftime("%b%y"),
+        "quarter": f"Q{cal.quarter}_{cal.year_b}",
+        "before": f"Q{cal.quarter}_{cal.year_a}",
+        "before_short": f"Q{cal.quarter}_{cal.year_a % 100:02d}",
+        "next": f"Q{cal.quarter % 4 + 1}",
     }
+    values = {"quantity": _number_text(now), "limit": limit_text, "drop": drop}
+
+    def sentence(pattern: str) -> Column:
+        """Text with period names filled in; ``<name>`` stands for a column."""
+        parts = re.split(r"<(\w+)>", pattern.format(**names))
+        return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+    reasons = {k: sentence(v) for k, v in params.SLOW_MOVING_REASONS.items()}
+    actions = {k: v.format(**names) for k, v in params.SLOW_MOVING_ACTIONS.items()}
     named = F.col("slow_moving_flag")
     return (
         rows.withColumn("slow_moving_flag", flag)
-        .withColumn("slow_moving_reason", first_match([(named == k, v) for k, v in reasons.items()], "Normal activity."))
-        .withColumn("recommended_action", first_match([(named == k, v) for k, v in actions.items()], "Follow Q2 forecast."))
+        .withColumn("slow_moving_reason", first_match([(named == k, v) for k, v in reasons.items()], params.SLOW_MOVING_NORMAL))
+        .withColumn("recommended_action", first_match([(named == k, v) for k, v in actions.items()], params.SLOW_MOVING_DEFAULT.format(**names)))
         .drop("p10")
     )
 

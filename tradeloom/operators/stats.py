@@ -33,16 +33,20 @@ def describe_distribution(df: DataFrame, columns: list[str], percents: list[int]
     return moments.join(F.broadcast(cuts), "measure")
 
 
-def closed_bins(df: DataFrame, column: str, bins: list[tuple[int, int]]) -> DataFrame:
-    """Rows per closed integer bin with share and running share; empty bins are kept."""
+def closed_bins(df: DataFrame, column: str, bins: list[tuple[int, int | None]]) -> DataFrame:
+    """Rows per closed integer bin with share and running share of all rows; empty bins are kept.
+
+    A last bin without an upper end (``None``) takes all that is larger.
+    """
     value = F.col(column)
-    number = first_match([(value.between(lo, hi), i) for i, (lo, hi) in enumerate(bins)], None)
-    counted = _counts_with_empty(df, number, bins, [])
+    rules = [(value >= lo if hi is None else value.between(lo, hi), i) for i, (lo, hi) in enumerate(bins)]
+    bounds = [(lo, float("inf") if hi is None else hi) for lo, hi in bins]
+    counted = _counts_with_empty(df, first_match(rules, None), bounds, [])
     return cumulative_bins(counted, "bin", "n")
 
 
 def half_open_bins(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
-    """Rows and revenue per bin [edge, next edge); the last bin has no upper end."""
+    """Rows and revenue per bin [edge, next edge) with shares of all rows; the last bin has no upper end."""
     value = F.col(column)
     uppers = [*edges[1:], None]
     rules = [
@@ -55,18 +59,16 @@ def half_open_bins(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
 
 
 def _counts_with_empty(df: DataFrame, number: Column, bins: list[tuple], extra: list[Column]) -> DataFrame:
-    grouped = (
-        df.withColumn("bin", number)
-        .where(F.col("bin").isNotNull())
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("n"), *extra)
-    )
+    """Counts by bin, and ``all_rows``, which rows outside all bins belong to as well."""
+    grouped = df.withColumn("bin", number).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *extra)
+    whole = grouped.agg(F.sum("n")).scalar()  # at most one row more than there are bins
     all_bins = df.sparkSession.createDataFrame(
         [(i, float(lo), float(hi)) for i, (lo, hi) in enumerate(bins)], "bin int, low double, high double"
     )
     joined = all_bins.join(grouped, "bin", "left")
     fill = {"n": 0, "revenue": 0.0}
-    return joined.na.fill({k: v for k, v in fill.items() if k in joined.columns})
+    filled = joined.na.fill({k: v for k, v in fill.items() if k in joined.columns})
+    return filled.withColumn("all_rows", whole)
 
 
 def last_purchase_month(fact: DataFrame) -> DataFrame:

@@ -214,6 +214,16 @@ def summary_by_group(entities: DataFrame, group: str, label: str) -> DataFrame:
     return join_null_safe(means, medians, [group], "left")
 
 
+def medians_by_level(entities: DataFrame, levels: list[str], measures: list[str]) -> DataFrame:
+    """Count and medians for the groups of each level (say region and tier), as rows (level, name)."""
+    cast = entities.select(*levels, *[F.col(m).cast(DOUBLE) for m in measures])
+    long = cast.unpivot(measures, levels, "level", "name")
+    out = long.groupBy("level", "name").agg(F.count(F.lit(1)).alias("n"))
+    for m in measures:
+        out = join_null_safe(out, quantiles(long, ["level", "name"], m, {f"median_{m}": 0.5}), ["level", "name"], "left")
+    return out
+
+
 def pivot_sums(df: DataFrame, keys: list[str], by: str, values: list[str], measures: dict[str, str]) -> DataFrame:
     """One column per (value, measure), 0 where nothing was found."""
     wide = df.groupBy(*keys).pivot(by, values).agg(*[F.sum(m).alias(s) for m, s in measures.items()])
@@ -308,14 +318,14 @@ def quarter_growth(fact: DataFrame, cal: params.SalesCalendar) -> DataFrame:
 
 
 def cumulative_bins(binned: DataFrame, order: str, count: str) -> DataFrame:
-    """Share and running share in percent over a fixed handful of bins."""
-    whole = F.sum(count).over(Window.partitionBy(F.lit(0)))
+    """Share and running share in percent over a fixed handful of bins, of ``all_rows`` if it is there."""
+    whole = F.col("all_rows") if "all_rows" in binned.columns else F.sum(count).over(Window.partitionBy(F.lit(0)))
     running = F.sum(count).over(
         Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return binned.withColumn("share_pct", rate(F.col(count) * 100, whole)).withColumn(
         "cumulative_pct", rate(running * 100, whole)
-    )
+    ).drop("all_rows")
 
 
 def spot_check(customers: DataFrame, value: str, key: str, edge: int = 5) -> DataFrame:

@@ -39,6 +39,15 @@ class SalesCalendar:
         """Absolute month number; January of ``year_a`` is 1."""
         return (year - self.year_a) * 12 + month
 
+    def period_week(self, iso_year: int, iso_week: int) -> int:
+        """Absolute week number; week 1 of ``year_a`` is 1."""
+        return (iso_year - self.year_a) * 52 + iso_week
+
+    @property
+    def quarter(self) -> int:
+        """Quarter of the year that both observed blocks are."""
+        return (self.block_months[0] - 1) // 3 + 1
+
     @property
     def periods_a(self) -> list[int]:
         return [self.period(self.year_a, m) for m in self.block_months]
@@ -302,7 +311,24 @@ DEALER_FEATURES = [
     "avg_unit_price", "is_new_dealer", "qty_momentum", "revenue_momentum",
 ]
 
-RECENCY_BINS = [(0, 7), (8, 14), (15, 30), (31, 60), (61, 90), (91, 180), (181, 365), (366, 9999)]
-FREQUENCY_BINS = [(1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 19), (20, 49), (50, 9999)]
+#: Closed bins; ``None`` leaves the last one open.
+RECENCY_BINS = [(0, 7), (8, 14), (15, 30), (31, 60), (61, 90), (91, 180), (181, 365), (366, None)]
+FREQUENCY_BINS = [(1, 1), (2, 2), (3, 3), (4, 5), (6, 9), (10, 19), (20, 49), (50, None)]
 MONETARY_EDGES = [0, 5e6, 10e6, 30e6, 50e6, 100e6, 300e6, 500e6, 1e9, 5e9]
 DESCRIBE_PERCENTS = [5, 10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90, 95, 99]
+
+# Fixed texts of the slow-moving report; period names come from the calendar, <names> from the row.
+SLOW_MOVING_REASONS = {
+    "new_or_uncertain": "SKU appeared very recently ({month} or {quarter}) with no {before_short} history.",
+    "red_no_demand": "{quarter} total_quantity = 0.",
+    "amber_slow_moving": "{quarter} qty (<quantity>) is <= group P10/10 threshold (<limit>).",
+    "declining_activity": "{quarter} qty dropped by <drop>% vs {before}.",
+}
+SLOW_MOVING_NORMAL = "Normal activity."
+SLOW_MOVING_ACTIONS = {
+    "new_or_uncertain": "Monitor demand closely. Do not classify as slow-moving yet.",
+    "red_no_demand": "Phase out or stop production unless required for strategic reasons.",
+    "amber_slow_moving": "Deprioritize in production. Liquidate excess inventory.",
+    "declining_activity": "Review marketing/pricing. Reduce production forecast.",
+}
+SLOW_MOVING_DEFAULT = "Follow {next} forecast."

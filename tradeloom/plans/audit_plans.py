@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions import text
 from tradeloom.operators import audit, features, kpis, views
 from tradeloom.plans.forecast_plans import (
-    build_monthly, future_monthly, metadata, monthly, sums_panel, weekly_sums_panel,
+    build_monthly, build_weekly, future_monthly, metadata, monthly, sums_panel, weekly_sums_panel,
 )
 from tradeloom.plans.registry import query
 from tradeloom.sources.star import CALENDAR
@@ -114,11 +114,11 @@ def share(column: str) -> str:
 
 @query(
     "unknown_impact",
-    f"""SELECT month, unknown_rows, unknown_quantity, unknown_revenue, {share('rows')}, {share('quantity')}, {share('revenue')} FROM (
-    SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, count(*) FILTER (WHERE line_id_fk IS NULL) AS unknown_rows, count(*) AS all_rows,
+    f"""SELECT month, is_total, unknown_rows, unknown_quantity, unknown_revenue, {share('rows')}, {share('quantity')}, {share('revenue')} FROM (
+    SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, grouping(month) = 1 AS is_total, CAST(count(*) FILTER (WHERE line_id_fk IS NULL) AS BIGINT) AS unknown_rows, count(*) AS all_rows,
     CAST(coalesce(sum(quantity) FILTER (WHERE line_id_fk IS NULL), 0) AS DOUBLE) AS unknown_quantity, CAST(sum(quantity) AS DOUBLE) AS all_quantity,
     CAST(coalesce(sum(line_total) FILTER (WHERE line_id_fk IS NULL), 0) AS DOUBLE) AS unknown_revenue, CAST(sum(line_total) AS DOUBLE) AS all_revenue
-    FROM fact GROUP BY 1)""",
+    FROM fact GROUP BY ROLLUP (month))""",
     rounded="rows_share_pct quantity_share_pct revenue_share_pct",
 )
 def _(t):
@@ -173,21 +173,42 @@ def _(t):
     return audit.unresolved_by_customer(t.fact("customer_code", "province_id", "province_name", "region"), t.customer())
 
 
+def panel_check(check: str, passed: str, detail: str) -> str:
+    return f"""SELECT '{check}' AS check, CASE WHEN {passed} THEN 'PASS' ELSE 'FAIL' END AS status,
+    CAST(CAST(round({detail}) AS BIGINT) AS VARCHAR) AS detail FROM m, w, s, f, fw"""
+
+
 @query(
     "panel_audit",
-    """SELECT 'panel has rows' AS check, CASE WHEN (SELECT count(*) FROM monthly) > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
-    CAST((SELECT count(*) FROM monthly) AS VARCHAR) AS detail
-    UNION ALL SELECT 'SKU count matches sales', CASE WHEN (SELECT count(DISTINCT product_code) FROM monthly) = (SELECT count(DISTINCT product_code) FROM blocks)
-    THEN 'PASS' ELSE 'FAIL' END, CAST((SELECT count(DISTINCT product_code) FROM monthly) AS VARCHAR)
-    UNION ALL SELECT 'unknown SKUs are labelled', 'PASS', CAST((SELECT count(DISTINCT product_code) FROM monthly WHERE group_code_clean = 'UNKNOWN') AS VARCHAR)
-    UNION ALL SELECT 'future targets are empty', 'PASS', CAST((SELECT count(*) FROM future_grid) AS VARCHAR)
-    UNION ALL SELECT 'quantity total', 'PASS', CAST(CAST((SELECT sum(total_quantity) FROM monthly) AS BIGINT) AS VARCHAR)""",
+    """WITH m AS (SELECT count(*) AS n, count(DISTINCT product_code) AS skus, sum(total_quantity) AS q, sum(total_revenue) AS r,
+      coalesce(sum(total_revenue) FILTER (WHERE group_code_clean = 'UNKNOWN'), 0) AS u FROM monthly),
+    w AS (SELECT count(*) AS wn, sum(total_quantity) AS wq, sum(total_revenue) AS wr FROM weekly),
+    s AS (SELECT count(DISTINCT product_code) AS sskus, CAST(sum(quantity) AS DOUBLE) AS sq, CAST(sum(line_total) AS DOUBLE) AS sr,
+      CAST(coalesce(sum(line_total) FILTER (WHERE group_code IS NULL), 0) AS DOUBLE) AS su FROM blocks),
+    f AS (SELECT count(*) AS fn, count(total_quantity) AS ft FROM monthly_all WHERE period_month > 15),
+    fw AS (SELECT count(*) AS fwn, 0 AS fwt FROM future_week)
+    """
+    + " UNION ALL ".join(
+        panel_check(*c)
+        for c in [
+            ("monthly panel has rows", "n > 0", "n"),
+            ("weekly panel has no fewer rows", "wn >= n", "wn"),
+            ("SKU count matches sales", "skus = sskus", "skus"),
+            ("monthly quantity matches sales", "abs(q - sq) <= 1", "q"),
+            ("weekly quantity matches sales", "abs(wq - sq) <= 1", "wq"),
+            ("monthly revenue matches sales", "abs(r - sr) <= 1", "r"),
+            ("weekly revenue matches sales", "abs(wr - sr) <= 1", "wr"),
+            ("unknown revenue matches unmapped sales", "abs(u - su) <= 1", "u"),
+            ("monthly future targets are empty", "ft = 0", "fn"),
+            ("weekly future targets are empty", "fwt = 0", "fwn"),
+        ]
+    ),
 )
 def _(t):
-    expected = t.block_fact("product_code").agg(F.countDistinct("product_code")).scalar()
-    panel = monthly(t)
+    panel, weekly = monthly(t), weekly_sums_panel(t)
     future = features.future_monthly_rows(panel, metadata(t), CALENDAR)
-    return audit.panel_audit(panel, future, expected)
+    ahead = features.future_weekly_rows(build_weekly(t, metadata(t)), metadata(t), CALENDAR)
+    return audit.panel_audit(panel, weekly, future, ahead, t.block_fact("product_code", "group_code", "quantity", "line_total"))
 
 
 @query(
@@ -226,17 +247,57 @@ FUTURE_AUDITED = AUDITED[:5]
     "future_lag_audit",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, fiscal_month, count(*) AS total_rows, count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
-        CASE WHEN count({c}) = 0 OR (SELECT count({c}) FROM monthly_future WHERE fiscal_month > 4) = 0 THEN 'NO'
+        100.0 * (count(*) - count({c})) / count(*) AS null_rate_pct, CASE WHEN count({c}) = 0 OR (SELECT count({c}) FROM monthly_future WHERE fiscal_month > 4) = 0 THEN 'NO'
         WHEN (SELECT max(v) FROM (SELECT coalesce(var_samp({c}), 0) AS v FROM monthly_future GROUP BY product_code)) = 0 THEN 'NO'
         ELSE 'POSSIBLE CASCADE' END AS cascade_risk FROM monthly_future GROUP BY 2"""
         for c in FUTURE_AUDITED
     ),
+    rounded="null_rate_pct",
 )
 def _(t):
     future = t.table("future_monthly", lambda: future_monthly(t))
     return audit.future_lag_audit(future, FUTURE_AUDITED, CALENDAR.future_months[0])
 
 
+#: Weeks that may look back over the gap, and the first week of the forecast quarter.
+WEEKS_AFTER_GAP = [CALENDAR.period_week(CALENDAR.year_b, 1) + i for i in range(4)]
+FIRST_FUTURE_WEEK = min(s["period_week"] for s in features.future_segments(CALENDAR))
+WEEK_AUDITED = [c for c in features.WEEKLY_LAGS if "roll" not in c]
+
+
+@query(
+    "cross_gap_lag_audit_weekly",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, period_week, count(*) AS total_rows, count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
+        100.0 * (count(*) - count({c})) / count(*) AS null_rate_pct, CASE WHEN period_week <> 53 THEN 'N/A (intra-block)'
+        WHEN count({c}) > 0 THEN 'YES - CRITICAL VIOLATION' ELSE 'NO' END AS cross_gap_violation
+        FROM weekly_lags WHERE period_week IN (53, 54, 55, 56) GROUP BY 2"""
+        for c in WEEK_AUDITED
+    ),
+    rounded="null_rate_pct",
+)
+def _(t):
+    lags = features.weekly_features(build_weekly(t, metadata(t)), metadata(t))
+    return audit.cross_gap_lag_audit(lags, WEEK_AUDITED, "period_week", WEEKS_AFTER_GAP)
+
+
+@query(
+    "future_lag_audit_weekly",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, period_week, count(*) AS total_rows, count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
+        100.0 * (count(*) - count({c})) / count(*) AS null_rate_pct,
+        CASE WHEN count({c}) = 0 OR (SELECT count({c}) FROM weekly_future_lags WHERE period_week > 65) = 0 THEN 'NO'
+        WHEN (SELECT max(v) FROM (SELECT coalesce(var_samp({c}), 0) AS v FROM weekly_future_lags GROUP BY product_code)) = 0 THEN 'NO'
+        ELSE 'POSSIBLE CASCADE' END AS cascade_risk FROM weekly_future_lags GROUP BY 2"""
+        for c in WEEK_AUDITED
+    ),
+    rounded="null_rate_pct",
+)
+def _(t):
+    ahead = features.future_weekly_rows(build_weekly(t, metadata(t)), metadata(t), CALENDAR)
+    return audit.future_lag_audit(ahead, WEEK_AUDITED, FIRST_FUTURE_WEEK, "period_week")
+
+
 @query(
     "line_total_identity",
     """SELECT CAST(max(abs(line_total - quantity * unit_price)) AS DOUBLE) AS max_difference,

@@ -272,8 +272,10 @@ def _(t):
 
 
 def bins_sql(bins, value: str, extra: str = "") -> str:
-    rows = ", ".join(f"({i}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for i, (lo, hi) in enumerate(bins))
-    return f"""SELECT *, 100.0 * n / sum(n) OVER () AS share_pct, 100.0 * sum(n) OVER (ORDER BY bin) / sum(n) OVER () AS cumulative_pct
+    tops = ["'Infinity'" if hi is None else hi for _, hi in bins]
+    rows = ", ".join(f"({i}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for i, ((lo, _), hi) in enumerate(zip(bins, tops)))
+    whole = "(SELECT count(*) FROM rfm)"
+    return f"""SELECT *, 100.0 * n / {whole} AS share_pct, 100.0 * sum(n) OVER (ORDER BY bin) / {whole} AS cumulative_pct
     FROM (SELECT b.bin, b.low, b.high, count(r.customer_code) AS n{extra} FROM (VALUES {rows}) b(bin, low, high)
     LEFT JOIN rfm r ON {value} GROUP BY 1, 2, 3)"""
 

@@ -77,13 +77,9 @@ def scenario_totals(t: StarTables):
     return {name: observed * factor for name, factor in SCENARIO_FACTORS.items()}
 
 
-#: The price list of the test data is read as it stood early on, so that the cascade has gaps to fill.
-PRICE_CUTOFF = date(1995, 3, 31)
-
-
 def asp(t: StarTables):
-    prices = t.product_price(last=PRICE_CUTOFF)
-    return forecast.asp_cascade(metadata(t), prices, monthly_sums(t), PRICE_CUTOFF, CALENDAR.periods_b[-1])
+    prices = t.product_price(last=CALENDAR.as_of)
+    return forecast.asp_cascade(metadata(t), prices, monthly_sums(t), CALENDAR.as_of, CALENDAR.periods_b[-1])
 
 
 def share_forecast(t: StarTables):
@@ -210,6 +206,15 @@ def _(t):
     return panels.period_summary(weekly_sums_panel(t), ["fiscal_year", "fiscal_month", "year_week"])
 
 
+@query(
+    "period_summary_monthly",
+    """SELECT fiscal_year, fiscal_month, count(DISTINCT product_code) AS n_skus, sum(total_quantity) AS sum_qty,
+    CAST(sum(CAST(total_revenue AS DECIMAL(20,2))) AS DOUBLE) AS sum_rev FROM monthly GROUP BY 1, 2""",
+)
+def _(t):
+    return panels.period_summary(monthly_sums(t), ["fiscal_year", "fiscal_month"])
+
+
 @query(
     "calendar_parts",
     "SELECT order_id, order_date, fiscal_year, fiscal_quarter, fiscal_month, week_of_year FROM sales_order",
@@ -401,6 +406,10 @@ def _(t):
     )
 
 
+cte("weekly_lags", f"SELECT a.product_code, a.period_week, {WEEK_LAGS} FROM weekly a {week_joins('week_mean')}")
+cte("weekly_future_lags", f"SELECT a.product_code, a.period_week, {WEEK_LAGS} FROM future_week a {week_joins('week_total')}")
+
+
 @query(
     "safe_rolling_mean",
     f"""SELECT a.product_code, a.fiscal_month, a.period_week,
@@ -432,7 +441,7 @@ def _(t):
 
 
 @query(
-    "future_week_segments",
+    "past_week_segments",
     """SELECT strftime(d, '%G-W%V') AS year_week, CAST(month(d) AS INTEGER) AS fiscal_month, min(d) AS segment_start_date,
     max(d) AS segment_end_date, count(*) AS days_in_segment, CASE WHEN count(*) < 7 THEN 1 ELSE 0 END AS is_partial_week
     FROM (SELECT DISTINCT order_date AS d FROM sales_order) GROUP BY 1, 2""",
@@ -457,6 +466,20 @@ SELECT product_code, s.*, product_name, base_color, group_code_clean, group_name
   is_cold_start_march_sku, CASE WHEN group_code_clean = 'UNKNOWN' THEN 1 ELSE 0 END AS is_unknown_hierarchy
 FROM meta, future_segment s""",
 )
+@query(
+    "future_week_segments",
+    """SELECT product_code, year_week, fiscal_year, fiscal_month, segment_start_date, segment_end_date, days_in_segment, is_partial_week,
+    period_week, block_id FROM meta, future_segment""",
+)
+def _(t):
+    """The weeks of the forecast quarter, cut at month ends, for every SKU."""
+    kinds = {
+        "year_week": "string", "fiscal_year": "int", "fiscal_month": "int", "segment_start_date": "date", "segment_end_date": "date",
+        "days_in_segment": "int", "is_partial_week": "int", "period_week": "int", "block_id": "string",
+    }
+    return explode_rows(metadata(t).select("product_code"), features.future_segments(CALENDAR), kinds)
+
+
 cte(
     "week_total",
     """
@@ -627,7 +650,7 @@ def _(t):
 cte(
     "own_price",
     """SELECT product_code, CAST(unit_price AS DOUBLE) AS price FROM (SELECT *, row_number() OVER (PARTITION BY product_code
-    ORDER BY order_date DESC, order_id DESC, line_id DESC, unit_price DESC) AS rn FROM fact WHERE order_date <= DATE '1995-03-31')
+    ORDER BY order_date DESC, order_id DESC, line_id DESC, unit_price DESC) AS rn FROM fact WHERE order_date <= DATE '2001-03-31')
     WHERE rn = 1""",
 )
 cte(
@@ -638,7 +661,7 @@ SELECT s.product_code, coalesce(o.price, x.implied_price, ge.price, gt.price, ov
     WHEN x.implied_price IS NOT NULL THEN 'b. SKU latest transaction unit_price'
     WHEN ge.price IS NOT NULL THEN 'c. group-level latest effective ASP'
     WHEN gt.price IS NOT NULL THEN 'd. group-level latest transaction ASP' ELSE 'e. overall latest ASP' END AS asp_source,
-  DATE '1995-03-31' AS asp_cutoff_date
+  DATE '2001-03-31' AS asp_cutoff_date
 FROM meta s LEFT JOIN own_price o USING (product_code)
 LEFT JOIN (SELECT product_code, arg_max(implied_price, period_month) AS implied_price FROM monthly GROUP BY 1) x USING (product_code)
 LEFT JOIN (SELECT group_code_clean, sum(CAST(price AS DECIMAL(28,2)))::DOUBLE / count(*) AS price FROM own_price
@@ -847,11 +870,11 @@ def _(t):
 @query(
     "slow_moving_flags",
     """SELECT * EXCLUDE (p10, lim), CASE slow_moving_flag
-      WHEN 'new_or_uncertain' THEN 'SKU appeared very recently (Mar26 or Q1_2026) with no Q1_25 history.'
-      WHEN 'red_no_demand' THEN 'Q1_2026 total_quantity = 0.'
-      WHEN 'amber_slow_moving' THEN 'Q1_2026 qty (' || CAST(q1_current AS VARCHAR) || ') is <= group P10/10 threshold ('
+      WHEN 'new_or_uncertain' THEN 'SKU appeared very recently (Mar01 or Q1_2001) with no Q1_00 history.'
+      WHEN 'red_no_demand' THEN 'Q1_2001 total_quantity = 0.'
+      WHEN 'amber_slow_moving' THEN 'Q1_2001 qty (' || CAST(q1_current AS VARCHAR) || ') is <= group P10/10 threshold ('
         || CASE WHEN lim = 10 THEN '10' ELSE CAST(lim AS VARCHAR) END || ').'
-      WHEN 'declining_activity' THEN 'Q1_2026 qty dropped by ' || printf('%.1f', abs(q1_yoy_change * 100)) || '% vs Q1_2025.'
+      WHEN 'declining_activity' THEN 'Q1_2001 qty dropped by ' || printf('%.1f', abs(q1_yoy_change * 100)) || '% vs Q1_2000.'
       ELSE 'Normal activity.' END AS slow_moving_reason,
     CASE slow_moving_flag WHEN 'new_or_uncertain' THEN 'Monitor demand closely. Do not classify as slow-moving yet.'
       WHEN 'red_no_demand' THEN 'Phase out or stop production unless required for strategic reasons.'

@@ -220,6 +220,21 @@ def _(t):
     return views.summary_by_group(customer_rfm(t), "region", "NULL")
 
 
+MEDIANS = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median_{c}" for c in ("recency_days", "frequency", "monetary"))
+
+
+@query(
+    "median_by_region_and_tier",
+    f"""SELECT 'region' AS level, region AS name, count(*) AS n, {MEDIANS} FROM rfm GROUP BY region
+    UNION ALL SELECT 'tier', customer_tier, count(*), {MEDIANS} FROM rfm GROUP BY customer_tier""",
+    rounded="median_recency_days median_frequency median_monetary",
+    digits=4,
+)
+def _(t):
+    rfm = customer_rfm(t).withColumnRenamed("customer_tier", "tier")
+    return views.medians_by_level(rfm, ["region", "tier"], ["recency_days", "frequency", "monetary"])
+
+
 @query(
     "quantile_by_group",
     """SELECT group_code, quantile_cont(qty, 0.1) AS p10 FROM (SELECT group_code, product_code,

@@ -199,15 +199,14 @@ class StarTables:
         )
 
     def lines(self, *extra: str) -> DataFrame:
-        """The unit price is the line amount over the quantity, rounded half up in whole cents."""
+        """The unit price is the line amount over the quantity, rounded half up in cents; NULL for the quantity 0."""
         return self.raw("lineitem").selectExpr(
             "cast(l_orderkey as string) as so_number",
             "l_orderkey as order_id",
             "l_linenumber as line_id",
             "cast(l_partkey as string) as product_code",
             f"cast(l_quantity as {QUANTITY}) as quantity",
-            "cast(cast((2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
-            f" div (2 * cast(l_quantity as bigint)) as decimal(17,0)) * 0.01BD as {MONEY}) as unit_price",
+            f"cast(round(try_divide(cast(l_extendedprice as decimal(15,2)), cast(l_quantity as {QUANTITY})), 2) as {MONEY}) as unit_price",
             f"cast(l_extendedprice as {MONEY}) as line_total",
             *extra,
         )
