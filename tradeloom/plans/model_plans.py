@@ -53,9 +53,15 @@ def _(t):
     )
 
 
-@query("encode_features")
+EXTENDED = params.FEATURE_SETS["monthly_extended_features"]
+SLOTS = " + ".join(
+    f"(SELECT count(DISTINCT coalesce(CAST({c} AS VARCHAR), 'UNKNOWN')) + 1 FROM monthly_feat)" if c in models.CATEGORIES else "2" for c in EXTENDED
+)
+
+
+@query("encode_features", f"SELECT product_code, period_month, CAST({SLOTS} AS INTEGER) AS n_slots FROM monthly_feat")
 def _(t):
-    encoded = models.encode_features(feature_table(t), params.FEATURE_SETS["monthly_extended_features"])
+    encoded = models.encode_features(feature_table(t), EXTENDED)
     return encoded.select("product_code", "period_month", F.size(models.vector_to_array("features")).alias("n_slots"))
 
 
@@ -91,6 +97,17 @@ def _(t):
     return future_forecast(t)
 
 
+@query(
+    "forecast_future_contract",
+    """SELECT product_code, CAST(m AS INTEGER) AS fiscal_month, 'GBT_monthly_minimal_features' AS model, TRUE AS is_valid, asp_source
+    FROM asp, (VALUES (4), (5), (6)) v(m)""",
+)
+def _(t):
+    """One row for each SKU, future month and model, priced by the cascade and never below zero."""
+    valid = (F.col("predicted_quantity") >= 0) & F.col("predicted_quantity").isNotNull() & F.col("estimated_revenue").isNotNull()
+    return future_forecast(t).select("product_code", "fiscal_month", "model", valid.alias("is_valid"), "asp_source")
+
+
 @query("ml_vs_baseline")
 def _(t):
     return models.method_totals(future_forecast(t), share_forecast(t), "GBT_monthly_minimal_features")
@@ -102,6 +119,22 @@ def _(t):
     return models.top_importance(models.feature_importance(fitted, feature_table(t)))
 
 
+@query(
+    "importance_contract",
+    " UNION ALL ".join(
+        f"SELECT '{kind}_{name}' AS model, CAST({len(names)} AS BIGINT) AS n_features, TRUE AS adds_up"
+        for name, names in MONTHLY.items()
+        for kind in ("GBT", "DecisionTree")
+    ),
+)
+def _(t):
+    """The importance of a model's features is not negative and adds up to 1."""
+    fitted, _ = trained(t, feature_table(t), MONTHLY, ("GBT", "DecisionTree"))
+    importance = models.feature_importance(fitted, feature_table(t))
+    adds_up = (F.abs(F.sum("importance") - 1) < 1e-6) & (F.min("importance") >= 0)
+    return importance.groupBy("model").agg(F.count("*").alias("n_features"), adds_up.alias("adds_up"))
+
+
 def classified(t: StarTables):
     rows = t.table("snapshots", lambda: snapshots(t))
     return models.train_classifier(rows, CALENDAR, models.dealer_classifier(ROUNDS))

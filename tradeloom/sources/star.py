@@ -217,7 +217,11 @@ class StarTables:
         return fact.withColumnRenamed("order_date", "effective_from")
 
     def fact(self, *columns: str, first: date | None = None, last: date | None = None) -> DataFrame:
-        """Order lines with the requested dimension columns; joins run on the integer keys."""
+        """Order lines with the requested dimension columns; joins run on the integer keys.
+
+        The population is every order line, whatever columns are asked for: a line whose order, customer or
+        product is unknown stays, with NULLs. Only a date range leaves lines out.
+        """
         wanted = list(columns) or FACT_COLUMNS
         need = set(wanted)
         df = self.lines("l_partkey as part_key")
@@ -225,14 +229,14 @@ class StarTables:
         need_customer = need_province or bool(need & CUSTOMER_COLUMNS)
         if need_customer or need & ORDER_COLUMNS or first or last:
             orders = self.orders(first, last, "o_custkey as customer_key").drop("so_number", "total_amount")
-            df = df.join(orders, "order_id")
+            df = df.join(orders, "order_id", "inner" if first or last else "left")
         if need_customer:
             customers = self.customer("c_custkey as customer_key").select("customer_key", *CUSTOMER_COLUMNS)
-            df = df.join(customers, "customer_key")
+            df = df.join(customers, "customer_key", "left")
         if need_province:
             df = df.join(self.province(), "province_id", "left")
         if need & PRODUCT_COLUMNS:
-            df = df.join(self.product("p_partkey as part_key").select("part_key", *PRODUCT_COLUMNS), "part_key")
+            df = df.join(self.product("p_partkey as part_key").select("part_key", *PRODUCT_COLUMNS), "part_key", "left")
         return df.select(*wanted)
 
     def block_fact(self, *columns: str, cal: SalesCalendar = CALENDAR) -> DataFrame:

@@ -21,6 +21,8 @@ def work_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables; a temporary one only in local mode."""
     global _local_root
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and shared.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is a folder of one machine; name one that all executors can reach")
     if shared:
         return f"{shared.rstrip('/')}/tradeloom/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
@@ -38,6 +40,12 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def enable_checkpoints(spark: SparkSession) -> None:
     """Let iterative trainers cut their lineage; keeps a folder that is already set."""
     if spark.sparkContext.getCheckpointDir() is None:
