@@ -32,4 +32,49 @@ QUERIES: dict[str, Query] = {
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9),
     "op10_warc": _over("pages", warc.op10),
 }
-ORACLES: dict[str, str] = {}
+#: Marks of the chat template, for the lengths that its escapes add.
+_CONTROL = r"(\[/?SYS\]|\[/?INST\]|\[ANS\]|\[/?ROLE\]|\[SAYS\]|</?s>)"
+
+
+def _escaped(column: str) -> str:
+    return rf"length(regexp_replace(replace({column}, '\', '\\'), '{_CONTROL}', '#\1', 'g'))"
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(sha, 5 * i + 1, 5))::BIGINT >> {shift}) & 31) AS INTEGER) + 1, 1)"
+    for shift in (15, 10, 5, 0)
+)
+
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least.b AS component_id, v.vec_id = least.b AS kept
+FROM embeddings v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op8_chat_formatting": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum({_escaped('text')} + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9
+    ELSE 19 + {_escaped('role')} END) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+    ORDER BY turn NULLS FIRST, role, text), 's?(ua)*u?') AS valid
+FROM t GROUP BY conv_id""",
+    "op10_warc": f"""
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT sha, max(page_id) AS best FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, array_to_string([{_BASE32} FOR i IN range(8)], '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d JOIN b USING (sha)""",
+}
