@@ -361,3 +361,56 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"abc")
     row = readers.input_manifest(spark, str(tmp_path)).first()
     assert (row["file_name"], row["n_bytes"], row["sha256"]) == ("a.csv", 3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_substring_joins_with_short_names_and_long_addresses(spark):
+    from tradeloom.operators import cleaning
+
+    names = spark.createDataFrame([("a",), ("abc",), ("zz",), ("q",), ("",), ("lamp x",), (None,)], "product_key string")
+    lines = spark.createDataFrame([(1, "abc"), (2, "lamp"), (3, "table"), (4, "q")], "line_id int, line_key string")
+    got = {r["product_key"]: r["line_id"] for r in cleaning.join_contains_unique(names, lines).collect()}
+    assert got == {"a": None, "abc": 1, "zz": None, "q": 4, "": None, "lamp x": 2}
+
+    long_address = "x" * 10_000 + " Hue " + "y" * 20
+    customers = [("c1", None, long_address), ("c2", None, "Hanoi, then Hue"), ("c3", 7, "Hue"), ("c4", None, None), ("c5", None, "zz"), ("c6", None, "q")]
+    provinces = [(1, "Hue"), (2, "Hanoi"), (3, "q")]
+    found = cleaning.join_address_to_province(
+        spark.createDataFrame(customers, "customer_code string, province_id int, address string"),
+        spark.createDataFrame(provinces, "province_id int, province_name_clean string"),
+    )
+    assert {r["customer_code"]: r["province_id"] for r in found.collect()} == {"c1": 1, "c2": 1, "c6": 3}
+
+
+def test_lines_keep_their_population(spark, tmp_path):
+    """Lines of unknown orders, customers or products stay, whatever columns are asked for; quantity 0 has no price."""
+    from tradeloom.sources.star import StarTables
+
+    source = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        df = spark.read.parquet(f"{source}/{name}.parquet")
+        if name == "lineitem":
+            odd = df.limit(3).selectExpr(*[
+                f"cast({dict(l_orderkey=-5, l_partkey=-6, l_quantity=0).get(c, c)} as {k}) as {c}" for c, k in df.dtypes
+            ])
+            df = df.unionByName(odd)
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = StarTables(spark, str(tmp_path))
+    n = spark.read.parquet(f"{tmp_path}/lineitem.parquet").count()
+    for columns in (("quantity",), ("order_date", "quantity"), ("customer_name",), ("region", "product_name", "unit_price")):
+        assert t.fact(*columns).count() == n
+    assert t.lines().where("quantity = 0 and unit_price is null").count() == 3
+
+
+def test_slow_moving_texts_follow_the_calendar():
+    from tradeloom import params
+
+    cal = params.SalesCalendar()
+    assert (cal.quarter, cal.year_a, cal.year_b, cal.as_of.strftime("%b%y")) == (1, 2025, 2026, "Mar26")
+
+
+def test_top_bins_are_open_and_shares_count_every_row(spark):
+    from tradeloom.operators import stats
+
+    df = spark.createDataFrame([(1,), (3,), (20_000,), (None,)], "v int")
+    got = {r["bin"]: r for r in stats.closed_bins(df, "v", [(1, 2), (3, None)]).collect()}
+    assert (got[0]["n"], got[1]["n"]) == (1, 2) and (got[0]["share_pct"], got[1]["cumulative_pct"]) == (25.0, 75.0)

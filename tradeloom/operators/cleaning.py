@@ -86,27 +86,33 @@ def join_contains_unique(names: DataFrame, lines: DataFrame, key: str = "product
     """Line of each key when exactly one line key contains it or is contained in it, else NULL.
 
     Containment becomes an equi join: one side is cut into substrings whose lengths occur on
-    the other side, so no pair of unrelated rows is ever compared. An empty key is contained
-    in every line key. Of lines with the same key the one with the largest id counts.
+    the other side, so no pair of unrelated rows is ever compared. What contains a key is counted
+    per substring before the join, so a key of one letter, which nearly every line has, still
+    brings one row. An empty key is contained in every line key. Of lines with the same key the one
+    with the largest id counts.
     """
     line_keys = lines.groupBy("line_key").agg(F.max("line_id").alias("line_id"))
     keys = names.select(key).where(F.col(key).isNotNull()).distinct()
     line_lengths = line_keys.agg(F.collect_set(F.length("line_key"))).scalar()
     key_lengths = keys.agg(F.collect_set(F.length(key))).scalar()
     sized = F.col("__lengths")
+    hits = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id")]
     inside_name = (
         keys.withColumn("__lengths", line_lengths)
         .select(key, F.explode(_pieces(F.col(key), sized)).alias("line_key"))
         .join(line_keys, "line_key")
+        .groupBy(key)
+        .agg(*hits)
     )
     around_name = (
         line_keys.withColumn("__lengths", key_lengths)
         .select("line_key", "line_id", F.explode(_pieces(F.col("line_key"), sized)).alias(key))
-        .where(F.col(key) != "")
-        .join(keys, key)
+        .where((F.col(key) != "") & (F.col(key) != F.col("line_key")))  # an equal key counts on the other side
+        .groupBy(key)
+        .agg(*hits)
+        .join(keys, key, "left_semi")
     )
-    pairs = inside_name.select(key, "line_key", "line_id").unionByName(around_name.select(key, "line_key", "line_id"))
-    found = pairs.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))
+    found = inside_name.unionByName(around_name).groupBy(key).agg(F.sum("n").alias("n"), F.min("line_id").alias("line_id"))
     every_line = line_keys.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))).scalar()
     only_one = F.when(F.col("n") == 1, F.col("line_id"))
     of_empty = F.when(every_line.getField("n") == 1, every_line.getField("line_id"))
@@ -116,24 +122,24 @@ def join_contains_unique(names: DataFrame, lines: DataFrame, key: str = "product
 def join_address_to_province(customers: DataFrame, provinces: DataFrame) -> DataFrame:
     """Province for customers without one from the name found last in the address.
 
-    Positions of the address are matched to names by their first letters (as many as the
-    shortest name has) in an equi join and then compared in full. Of several hits the one that
-    starts latest wins, then the longer name, then the smaller id.
+    The address is cut into substrings as long as some name, each with its position; they meet the
+    names in an equi join. A row carries the substring only, so the work grows with the length of
+    the address. Of several hits the one that starts latest wins, then the longer name, then the
+    smaller id.
     """
     names = provinces.select(
-        "province_id", F.lower("province_name_clean").alias("name"), F.length("province_name_clean").alias("size")
+        "province_id", F.lower("province_name_clean").alias("piece"), F.length("province_name_clean").alias("size")
     ).where("size > 0")
-    shortest = names.agg(F.min("size")).scalar()
-    heads = names.withColumn("head", F.substring(F.col("name"), F.lit(1), shortest))
+    sizes = names.agg(F.collect_set("size")).scalar()
     open_rows = customers.where(F.col("province_id").isNull() & F.col("address").isNotNull()).select(
-        "customer_code", F.lower("address").alias("address")
+        "customer_code", F.lower("address").alias("address"), sizes.alias("sizes")
     )
-    last = F.length("address") - shortest + 1
+    last = F.length("address") - F.col("size") + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    cut = open_rows.select("customer_code", "address", F.explode(starts).alias("at"))
-    cut = cut.withColumn("head", F.substring(F.col("address"), F.col("at"), shortest))
-    hits = cut.join(heads, "head").where(F.substring(F.col("address"), F.col("at"), F.col("size")) == F.col("name"))
-    first_hit = hits.groupBy("customer_code", "province_id", "size").agg(F.min("at").alias("at"))
+    cuts = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col("address"), i, F.col("size")).alias("piece")))
+    cut = open_rows.select("customer_code", "address", F.explode("sizes").alias("size"))
+    cut = cut.select("customer_code", F.explode(cuts).alias("c")).select("customer_code", "c.piece", "c.at")
+    first_hit = cut.join(names, "piece").groupBy("customer_code", "province_id", "size").agg(F.min("at").alias("at"))
     best = F.max_by("province_id", F.struct("at", "size", -F.col("province_id")))
     return first_hit.groupBy("customer_code").agg(best.alias("province_id"))
 
