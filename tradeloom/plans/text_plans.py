@@ -756,7 +756,8 @@ def _(t):
 @query("append_log", "SELECT message_id, CAST(received_at AS DATE) AS received_on, processing_status FROM mail_log")
 def _(t):
     path = folder(t, "email_log")
-    readers.write_parquet(t.email_log().limit(10), path)  # an earlier log, replaced by the next write
+    earlier = t.email_log().where(F.col("processing_status") == "READY_TO_INSERT")
+    readers.write_parquet(earlier, path)  # an earlier log, replaced by the next write
     readers.write_parquet(t.email_log(), path)
     stored = readers.scan_parquet(t.spark, path)
     return stored.select("message_id", F.col("received_at").cast("date").alias("received_on"), "processing_status")
