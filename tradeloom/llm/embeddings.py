@@ -152,18 +152,16 @@ def near_duplicates(
     points = rows.filter("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "vector-points")
     n = points.count()
-    keyed = points.select("id", "label", "v").mapInArrow(
-        _keys(passes_for(n, cosine, window), seed), "pass int, label bigint, size int, key bigint, id bigint, unit array<double>"
-    )
-    keyed = materialize(keyed, "vector-keys")
+    schema = "pass int, label bigint, size int, key bigint, id bigint, unit array<double>"
+    keyed = points.select("id", "label", "v").mapInArrow(_keys(passes_for(n, cosine, window), seed), schema)
     order = ["pass", "label", "size", "key", "id"]
     dealt = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     roots = components(dealt.mapInArrow(_windows(cosine, window), "u bigint, v bigint"), "vectors")
     roots = materialize(roots.select(F.col("node").alias("id"), "root"), "vector-roots")
     members = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    units = keyed.filter("pass = 0").select("id", "unit")
-    member = members.join(sizes, "root").join(units, "id").join(points.select("id", "copies"), "id")
+    units = points.join(members.select("id"), "id", "left_semi").select("id", "label", "v").mapInArrow(_keys(1, seed), schema)
+    member = members.join(sizes, "root").join(units.select("id", "unit"), "id").join(points.select("id", "copies"), "id")
     member = member.withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tradeloom.llm.common import bound_batches, parts_for
+from tradeloom.llm.common import bound_batches, first_by_hash, parts_for
 from tradeloom.llm.vectors import as_doubles, matrix, usable
 from tradeloom.storage import materialize
 
@@ -248,7 +248,7 @@ def nearest(
 def _search(spark: SparkSession, points: DataFrame, asking: DataFrame, k: int, n_parts: int, seed: int) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, largest = points.agg(F.count("*"), F.max(norm)).first()
-    sample = points.orderBy(F.xxhash64(F.lit(seed), "v")).limit(SAMPLE).select("v").toArrow()
+    sample = first_by_hash(points, SAMPLE, seed, "v").select("v").toArrow()
     lists = int(min(LISTS, max(1, math.ceil(n / LIST_SIZE))))
     graph = Graph(centroids(lift(matrix(sample.column(0).combine_chunks()), largest), lists, seed))
     shipped = spark.sparkContext.broadcast({"graph": graph, "largest": largest})  # at most ``LISTS`` centroids

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import logistic
-from tradeloom.llm.common import bound_batches, free_name, table, utf8
+from tradeloom.llm.common import bound_batches, first_by_hash, utf8
 from tradeloom.storage import materialize
 
 SAMPLE = 20_000
@@ -95,7 +95,7 @@ def _site(column: Column) -> Column:
 def fit(marked: DataFrame, labels: DataFrame, ids: str, sample: int = SAMPLE) -> list[float]:
     """Coefficients for low quality; ``marked`` has the ids and ``f``; labels has doc_id and quality."""
     labels = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    labels = labels.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", "quality").limit(sample)
+    labels = first_by_hash(labels, sample, 7, "doc_id", "quality")
     rows = marked.join(labels, marked[ids] == labels.doc_id).select("f", "quality", F.xxhash64(F.lit(7), "doc_id").alias("o"))
     rows = rows.orderBy("o", "f").limit(sample).collect()  # at most ``sample`` short rows
     if not rows:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm import logistic
-from tradeloom.llm.common import bound_batches, free_name
+from tradeloom.llm.common import bound_batches, first_by_hash, free_name
 from tradeloom.storage import materialize
 
 #: Bounds of the fit: training documents of each label, stems, and beginnings of words in letters.
@@ -196,10 +196,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, ids: str, text: str, sampl
     """Distinct training texts with labels, and how many labelled training rows there are of either kind."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    order = F.xxhash64(F.lit(11), "doc_id")
     chosen = None
     for kind in (0, 1):
-        part = usable.filter(F.col("toxic") == kind).orderBy(order, "doc_id").limit(sample)
+        part = first_by_hash(usable.filter(F.col("toxic") == kind), sample, 11, "doc_id")
         chosen = part if chosen is None else chosen.union(part)
     chosen = materialize(chosen, "toxic-chosen")  # at most twice ``sample`` ids
     rows = docs.select(F.col(f"`{ids}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
