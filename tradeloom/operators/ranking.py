@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 
 from tradeloom.operators.common import join_null_safe
 
-#: Ranges of one side; there are the square of it. Finding a value's range takes two short searches.
-SIDE = 24
-RANGES = SIDE * SIDE
+#: Halvings that find a value's range, and how many ranges that makes.
+STEPS = 9
+RANGES = 1 << STEPS
 
 
-def _range_of(value: Column, edges: Column) -> Column:
-    """Number of edges below the value: first among every ``SIDE``-th edge, then among those between."""
-    coarse = F.filter(F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.get(edges, i * SIDE - 1)), lambda e: e < value)
-    first = F.size(coarse) * SIDE
-    fine = F.filter(F.slice(edges, first + 1, F.lit(SIDE - 1)), lambda e: e < value)
-    return first + F.size(fine)
+def _with_range(counts: DataFrame, value: str, edges: Column) -> DataFrame:
+    """Adds ``__range``, the number of edges below the value, by halving; NULL is in the first range."""
+    v = F.col(value).cast("double")
+    out = counts.withColumn("__edges", edges).withColumn("__range", F.lit(0))
+    for step in reversed(range(STEPS)):
+        half, here = 1 << step, F.col("__range")
+        out = out.withColumn("__range", here + F.when(F.get("__edges", here + (half - 1)) < v, half).otherwise(0))
+    return out.drop("__edges")
 
 
 def cumulate(counts: DataFrame, keys: list[str], value: str, weights: list[str], tie: str | None = None) -> DataFrame:
@@ -38,8 +40,7 @@ def cumulate(counts: DataFrame, keys: list[str], value: str, weights: list[str],
     grid = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
     edges = counts.agg(F.expr(f"percentile_approx(cast({value} as double), array({grid}), 20000)").alias("e")).scalar()
     order = [value] + ([tie] if tie else [])
-    ranged = counts.withColumn("__edges", edges)
-    ranged = ranged.withColumn("__range", _range_of(F.col(value).cast("double"), F.col("__edges"))).drop("__edges")
+    ranged = _with_range(counts, value, edges)
 
     sums = ranged.groupBy(*keys, "__range").agg(*[F.sum(w).alias(f"__sum_{w}") for w in weights])
     over_ranges = Window.partitionBy(*(keys or [F.lit(0)]))  # at most RANGES rows per group
@@ -112,11 +113,31 @@ def row_numbers(df: DataFrame, value: str, key: str, name: str, descending: bool
     )
 
 
+def equal_size_scores(df: DataFrame, key: str, scores: dict[str, tuple[str, bool]], parts: int = 5) -> DataFrame:
+    """``floor(position * parts / n) + 1`` with the 0-based sorted position, for several measures in one pass.
+
+    ``scores`` maps a new column to its measure and whether it is sorted descending; positions are those
+    of ``row_numbers``. ``key`` is unique.
+    """
+    entries = [
+        F.struct(F.lit(name).alias("__m"), (F.col(value).cast("double") * (-1 if descending else 1)).alias("__v"))
+        for name, (value, descending) in scores.items()
+    ]
+    long = df.select(key, F.explode(F.array(*entries)).alias("__e")).select(key, "__e.*")
+    long = long.withColumn("__h", F.coalesce(F.md5(F.col(key).cast("binary")), F.lit("")))
+    long = long.withColumn("__t", F.substring("__h", 1, TIE_LETTERS))
+    same = ["__m", "__v", "__t"]
+    counts = long.groupBy(*same).agg(F.count(F.lit(1)).alias("__n"))
+    starts = cumulate(counts, ["__m"], "__v", ["__n"], tie="__t").select(*same, "before___n", "all___n")
+    placed = long.withColumn("__in", F.row_number().over(Window.partitionBy(*same).orderBy("__h", key)))
+    placed = join_null_safe(placed, starts, same)
+    score = F.expr(f"cast((before___n + __in - 1) * {parts} div all___n + 1 as int)")
+    wide = placed.groupBy(key).agg(*[F.max(F.when(F.col("__m") == name, score)).alias(name) for name in scores])
+    return join_null_safe(df, wide, [key])
+
+
 def equal_size_score(df: DataFrame, value: str, key: str, name: str, parts: int = 5, descending: bool = False) -> DataFrame:
-    """``floor(position * parts / n) + 1`` with the 0-based sorted position."""
-    placed = row_numbers(df, value, key, "__pos", descending)
-    score = F.expr(f"cast(__pos * {parts} div __pos_of + 1 as int)")
-    return placed.withColumn(name, score).drop("__pos", "__pos_of")
+    return equal_size_scores(df, key, {name: (value, descending)}, parts)
 
 
 def with_share(df: DataFrame, value: str, name: str, factor: float = 1.0) -> DataFrame:

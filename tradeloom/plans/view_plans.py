@@ -392,9 +392,8 @@ NTILE_SQL = """SELECT customer_code, recency_days, frequency, monetary,
 
 def equal_size_scores(t):
     df = t.table("rfm", lambda: customer_rfm(t).select("customer_code", "recency_days", "frequency", "monetary"))
-    df = ranking.equal_size_score(df, "recency_days", "customer_code", "r_score")
-    df = ranking.equal_size_score(df, "frequency", "customer_code", "f_score", descending=True)
-    return ranking.equal_size_score(df, "monetary", "customer_code", "m_score", descending=True)
+    scores = {"r_score": ("recency_days", False), "f_score": ("frequency", True), "m_score": ("monetary", True)}
+    return ranking.equal_size_scores(df, "customer_code", scores)
 
 
 cte("ntile_scores", NTILE_SQL)
