@@ -65,6 +65,23 @@ def test_near_duplicates_match_brute_force(spark, vectors, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_a_star_keeps_all_its_links(spark):
+    """Copies at 0.985 to an original are at about 0.970 to each other: only the original joins them."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(128)
+    centre /= np.linalg.norm(centre)
+    aside = rng.standard_normal((1500, 128))
+    aside -= np.outer(aside @ centre, centre)
+    copies = 0.985 * centre + np.sqrt(1 - 0.985**2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    x = np.concatenate([centre[None], copies, rng.standard_normal((3000, 128))])
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.op5(spark, table).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want[0] == 1500 and [got[i][0] for i in range(len(x))] == want.tolist()
+    assert all(got[i][1] == (0 if i <= 1500 else i) for i in got)
+
+
 def test_passes_grow_with_the_table():
     assert 4 <= embeddings.passes_for(0) <= embeddings.passes_for(10**4) < embeddings.passes_for(10**9) < 100
 

@@ -1,18 +1,20 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by random hyperplane groups.
 
-Equal vectors of a label are one point with a number of copies. In each pass every point gets a
-sequence of random hyperplane bits, other ones in every pass; points are sorted by label and by that
-sequence, lexicographically, and each is compared with the ``window`` points after it. Pairs that
-reach the cosine are links; the links of all passes are united into components.
+Equal vectors of a label are one point with a number of copies. In each pass every point gets a key
+of random hyperplane bits, other ones in every pass, and all points of a label with the same key are
+compared with each other. Pairs that reach the cosine are links; the links of all passes are united
+into components.
 
-The number of passes follows from the number of points: two points at the cosine agree in the
-leading log2(n / window) bits, which is what brings them into one window, with a known chance, and
-passes are added until the chance that all miss is below ``MISS``.
+The number of bits follows from the number of points, so that a key holds about ``window`` of them
+where vectors are spread evenly. Two points at the cosine agree in all bits with a known chance,
+whatever lies around them, and passes are added until the chance that they never do is below
+``MISS``. Where points stand close together a key holds many more: keys are counted first, and one
+of more than ``block`` points is cut into chunks by a hash, every pair of chunks being a task of its
+own. Only spanning forests leave a task.
 
-A window is bounded, so a dense group shows only some of its links in the passes, but its chain of
-neighbours joins it into one component. So an exact step follows: within each component every
-point is compared with every other, in blocks of at most twice ``BLOCK`` points that are tasks of
-their own. Only counts and labels of components leave a task, never the pairs of a group.
+Then the links are counted: within each component every point is compared with every other, in
+blocks of at most twice ``BLOCK`` points that are tasks of their own. Only counts and labels of
+components leave a task, never the pairs of a group.
 
 Rules: only points with equal, not null labels and equal dimension are compared; vectors that are
 null, zero or not finite link with nothing, their copies included; a row is ``kept`` if it has the
@@ -41,19 +43,23 @@ BLOCK = 1024
 SEED = 42
 
 
+def bits_for(points: int, window: int = WINDOW) -> int:
+    return min(63, math.ceil(math.log2(max(1.0, points / window))))
+
+
 def passes_for(points: int, cosine: float = COSINE, window: int = WINDOW, miss: float = MISS) -> int:
-    agree = 1 - math.acos(cosine) / math.pi
-    hit = agree ** max(1.0, math.log2(max(2.0, points / window)) + 1)
+    hit = (1 - math.acos(cosine) / math.pi) ** bits_for(points, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - hit))) if hit < 1 else 4
 
 
-def _planes(dimension: int, number: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, number, dimension]).standard_normal((dimension, 63))
+def _planes(dimension: int, number: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, number, dimension]).standard_normal((dimension, bits))
 
 
-def _keys(n_passes: int, seed: int):
-    """Adds a row for each pass with its sort key, the 63 bits as one number."""
-    powers = (1 << np.arange(62, -1, -1, dtype=np.int64))
+def _keys(n_passes: int, bits: int, seed: int, units: bool = True):
+    """Adds a row for each pass with its key, the bits as one number; the vector at length 1 only with ``units``."""
+    powers = 1 << np.arange(bits, dtype=np.int64)
+    names = ["pass", "label", "size", "key", "id", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,41 +68,81 @@ def _keys(n_passes: int, seed: int):
                 rows = batch.filter(pa.array(sizes == size))
                 x = matrix(rows.column(2))
                 x = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
-                unit = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                unit = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))] if units else []
                 for number in range(n_passes):
-                    key = ((x @ _planes(x.shape[1], number, seed)) > 0) @ powers
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), number, np.int32)), rows.column(1), pa.array(np.full(len(x), size, np.int32)), pa.array(key), rows.column(0), unit],
-                        names=["pass", "label", "size", "key", "id", "unit"],
-                    )
+                    key = ((x @ _planes(x.shape[1], number, bits, seed)) > 0) @ powers
+                    columns = [pa.array(np.full(len(x), number, np.int32)), rows.column(1), pa.array(np.full(len(x), size, np.int32)), pa.array(key), rows.column(0)]
+                    yield pa.RecordBatch.from_arrays(columns + unit, names=names[: 5 + units])
 
     return run
 
 
-def _windows(cosine: float, window: int):
-    """Reads points sorted by pass, label, size and key; emits the task's links as a forest."""
+def _spanning(linked: np.ndarray) -> Iterator[np.ndarray]:
+    """The members of each component of a symmetric matrix of links; points without links are left out."""
+    waiting = linked.any(axis=1)
+    while waiting.any():
+        front = np.zeros(len(linked), bool)
+        front[waiting.argmax()] = True
+        reached = front.copy()
+        while front.any():
+            front = linked[front].any(axis=0) & ~reached
+            reached |= front
+        waiting &= ~reached
+        yield np.flatnonzero(reached)
+
+
+def _links(cosine: float):
+    """Reads (pass, label, size, key, i, j, own, id, unit) sorted in this order; compares each block and emits the task's links as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
-        tail: dict[int, tuple] = {}
+        n_links = 0
+
+        def settle(table: pa.Table, last: bool) -> pa.Table:
+            nonlocal n_links
+            table = table.combine_chunks()
+            keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(6)], axis=1)
+            own, ids = table.column(6).to_numpy(), table.column(7).to_numpy()
+            values, at = table.column(8).chunk(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys[:, 2])])
+            starts, ends = runs(keys)
+            several = np.flatnonzero(ends - starts > 1)
+            for s, e in zip(starts[several].tolist(), ends[several].tolist()):
+                if e == len(keys) and not last:
+                    continue
+                x, i, j = values[at[s] : at[e]].reshape(e - s, -1), keys[s, 4], keys[s, 5]
+                if i == j:
+                    linked = x @ x.T >= cosine
+                    np.fill_diagonal(linked, False)
+                else:
+                    n = int((own[s:e] == i).sum())
+                    linked = np.zeros((e - s, e - s), bool)
+                    linked[:n, n:] = x[:n] @ x[n:].T >= cosine
+                    linked[n:, :n] = linked[:n, n:].T
+                for members in _spanning(linked):
+                    left.append(np.full(len(members) - 1, ids[s + members[0]]))
+                    right.append(ids[s + members[1:]])
+                    n_links += len(members) - 1
+            return table.slice(int(starts[-1]))
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal n_links
+            if n_links >= least:
+                u, v = local_forest(np.concatenate(left), np.concatenate(right))
+                left.clear()
+                right.clear()
+                n_links = 0
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        held: pa.Table | None = None
         for batch in batches:
-            group = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]], axis=1)
-            ids = batch.column(4).to_numpy(zero_copy_only=False)
-            for size in np.unique(group[:, 2]).tolist():
-                own = np.flatnonzero(group[:, 2] == size)
-                x, g, i = matrix(batch.column(5).take(pa.array(own))), group[own], ids[own]
-                if size in tail:
-                    x, g, i = (np.concatenate([a, b]) for a, b in zip(tail[size], (x, g, i)))
-                for step in range(1, min(window, len(x) - 1) + 1):
-                    at = np.flatnonzero((g[step:] == g[:-step]).all(axis=1))
-                    at = at[np.einsum("ij,ij->i", x[at], x[at + step]) >= cosine]
-                    left.append(i[at])
-                    right.append(i[at + step])
-                tail = {size: (x[-window:], g[-window:], i[-window:])}
-        if left:
-            u, v = local_forest(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            held = settle(table, False) if len(table) else held
+            yield from flush(1 << 20)
+        if held is not None:
+            settle(held, True)
+        yield from flush(1)
 
     return run
 
@@ -152,15 +198,23 @@ def near_duplicates(
     points = rows.filter("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "vector-points")
     n = points.count()
-    schema = "pass int, label bigint, size int, key bigint, id bigint, unit array<double>"
-    keyed = points.select("id", "label", "v").mapInArrow(_keys(passes_for(n, cosine, window), seed), schema)
-    order = ["pass", "label", "size", "key", "id"]
-    dealt = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-    roots = components(dealt.mapInArrow(_windows(cosine, window), "u bigint, v bigint"), "vectors")
+    bits, n_passes = bits_for(n, window), passes_for(n, cosine, window)
+    schema, group = "pass int, label bigint, size int, key bigint, id bigint", ["pass", "label", "size", "key"]
+    bare = points.select("id", "label", "v")
+    counts = bare.mapInArrow(_keys(n_passes, bits, seed, False), schema).groupBy(*group).count().filter(F.col("count") > block)
+    hot = materialize(counts.select(*group, F.ceil(F.col("count") / block).cast("int").alias("chunks")), "vector-hot")
+    schema += ", unit array<double>"
+    keyed = bare.mapInArrow(_keys(n_passes, bits, seed), schema).join(hot, group, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = [*group, "i", "j"]
+    dealt = keyed.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "unit")
+    dealt = dealt.repartition(n_parts, *pairs).sortWithinPartitions(*pairs, "own")
+    roots = components(dealt.mapInArrow(_links(cosine), "u bigint, v bigint"), "vectors")
     roots = materialize(roots.select(F.col("node").alias("id"), "root"), "vector-roots")
     members = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    units = points.join(members.select("id"), "id", "left_semi").select("id", "label", "v").mapInArrow(_keys(1, seed), schema)
+    units = points.join(members.select("id"), "id", "left_semi").select("id", "label", "v").mapInArrow(_keys(1, 0, seed), schema)
     member = members.join(sizes, "root").join(units.select("id", "unit"), "id").join(points.select("id", "copies"), "id")
     member = member.withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
     member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
