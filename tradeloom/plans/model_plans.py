@@ -1,8 +1,11 @@
 """Tree models: training, future scoring, comparison, importance, dealer classifier.
 
-The registered runs use fewer boosting rounds than the defaults; the data is not reduced.
+The registered runs take the operators' default rounds and trees, and every learner on every feature set.
+A model is fitted once in an application for the files as they are; all queries share it.
 """
 
+from threading import Lock
+
 from pyspark.sql import functions as F
 
 from tradeloom import params
@@ -14,8 +17,6 @@ from tradeloom.plans.forecast_plans import (
 from tradeloom.plans.registry import query
 from tradeloom.sources.star import CALENDAR, StarTables
 
-ROUNDS = 5
-MINIMAL = {"monthly_minimal_features": params.FEATURE_SETS["monthly_minimal_features"]}
 MONTHLY = {n: f for n, f in params.FEATURE_SETS.items() if n.startswith("monthly")}
 WEEKLY = {n: f for n, f in params.FEATURE_SETS.items() if n.startswith("weekly")}
 
@@ -28,10 +29,45 @@ def weekly_table(t: StarTables):
     return t.table("weekly_features", lambda: features.weekly_features(build_weekly(t, metadata(t)), metadata(t)))
 
 
+#: Fitted models by application, files of the folder and name.
+_FITTED: dict[tuple, dict] = {}
+_LOCK = Lock()
+
+
+def files_of(t: StarTables) -> tuple:
+    """Path, length and time of every file in the folder, so that changed data is fitted anew."""
+    folder = t.spark._jvm.org.apache.hadoop.fs.Path(t.folder)
+    listed = folder.getFileSystem(t.spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def shared(t: StarTables, names: list[str], fit) -> dict:
+    """The models of these names; ``fit`` makes those that are missing."""
+    key = (t.spark.sparkContext.applicationId, t.folder, t.once("files", lambda: files_of(t)))
+    with _LOCK:
+        known = _FITTED.setdefault(key, {})
+        missing = [n for n in names if n not in known]
+        if missing:
+            known |= fit(missing)
+        return {n: known[n] for n in names}
+
+
 def trained(t: StarTables, rows, sets, kinds=("GBT", "RandomForest", "DecisionTree")):
     train, validation = models.temporal_split(rows, CALENDAR)
-    learners = {k: v for k, v in models.regressors(ROUNDS, 10).items() if k in kinds}
-    return models.train_regressors(train, sets, learners), validation
+    learners = {k: v for k, v in models.regressors().items() if k in kinds}
+
+    def fit(missing):
+        found = {}
+        for name, features_of in sets.items():
+            wanted = {k: v for k, v in learners.items() if f"{k}_{name}" in missing}
+            found |= models.train_regressors(train, {name: features_of}, wanted)
+        return found
+
+    return shared(t, [f"{kind}_{name}" for name in sets for kind in learners], fit), validation
 
 
 def with_volume(t: StarTables, rows):
@@ -73,22 +109,23 @@ def _(t):
 
 @query("train_weekly_regressors")
 def _(t):
-    fitted, validation = trained(t, weekly_table(t), WEEKLY, ("GBT", "DecisionTree"))
+    fitted, validation = trained(t, weekly_table(t), WEEKLY)
     return models.predict_all(fitted, validation).select("product_code", "period_week", "model", "total_quantity", "predicted")
 
 
 @query("model_comparison")
 def _(t):
     parts = []
-    for grain, rows, sets in (("monthly", feature_table(t), MINIMAL), ("weekly", weekly_table(t), {"weekly_minimal_features": WEEKLY["weekly_minimal_features"]})):
-        fitted, validation = trained(t, rows, sets, ("GBT", "DecisionTree"))
+    for grain, rows, sets in (("monthly", feature_table(t), MONTHLY), ("weekly", weekly_table(t), WEEKLY)):
+        fitted, validation = trained(t, rows, sets)
         scored = models.predict_all(fitted, with_volume(t, validation))
         parts.append(forecast.metrics_by_segment(scored).withColumn("grain", F.lit(grain)))
     return parts[0].unionByName(parts[1])
 
 
 def future_forecast(t: StarTables):
-    fitted, _ = trained(t, feature_table(t), MINIMAL, ("GBT",))
+    """The monthly models; weekly ones serve the comparison only, as in the original."""
+    fitted, _ = trained(t, feature_table(t), MONTHLY)
     return models.forecast_future(fitted, t.table("future", lambda: future_monthly(t)), asp(t))
 
 
@@ -105,18 +142,21 @@ def _(t):
 def _(t):
     """One row for each SKU, future month and model, priced by the cascade and never below zero."""
     valid = (F.col("predicted_quantity") >= 0) & F.col("predicted_quantity").isNotNull() & F.col("estimated_revenue").isNotNull()
-    return future_forecast(t).select("product_code", "fiscal_month", "model", valid.alias("is_valid"), "asp_source")
+    rows = future_forecast(t).where(F.col("model") == "GBT_monthly_minimal_features")  # the one its SQL states
+    return rows.select("product_code", "fiscal_month", "model", valid.alias("is_valid"), "asp_source")
 
 
 @query("ml_vs_baseline")
 def _(t):
-    return models.method_totals(future_forecast(t), share_forecast(t), "GBT_monthly_minimal_features")
+    return models.method_totals(future_forecast(t), share_forecast(t))
 
 
 @query("feature_importance")
 def _(t):
-    fitted, _ = trained(t, feature_table(t), MONTHLY, ("GBT", "DecisionTree"))
-    return models.top_importance(models.feature_importance(fitted, feature_table(t)))
+    monthly_ones, _ = trained(t, feature_table(t), MONTHLY)
+    weekly_ones, _ = trained(t, weekly_table(t), WEEKLY)
+    importance = models.feature_importance(monthly_ones, feature_table(t))
+    return models.top_importance(importance.unionByName(models.feature_importance(weekly_ones, weekly_table(t))))
 
 
 @query(
@@ -135,15 +175,17 @@ def _(t):
     return importance.groupBy("model").agg(F.count("*").alias("n_features"), adds_up.alias("adds_up"))
 
 
-def classified(t: StarTables):
+def classified(t: StarTables, n: int):
+    """The dealers of the cutoff after the first ``n``, scored by a model of those."""
     rows = t.table("snapshots", lambda: snapshots(t))
-    return models.train_classifier(rows, CALENDAR, models.dealer_classifier(ROUNDS))
+    name = f"dealers_{n}"
+    fitted = shared(t, [name], lambda _: {name: models.fit_before(rows, CALENDAR, n, models.dealer_classifier())})
+    return models.score_at(fitted[name], rows, CALENDAR, n)
 
 
 @query("train_classifier")
 def _(t):
-    _, scored = classified(t)
-    ranked = dealers.priority_ranking(scored)
+    ranked = dealers.priority_ranking(classified(t, 4))
     return ranked.select(
         "customer_code", "rfm_segment", "p_order_next_30d", "marketing_priority_score", "recommended_action", "risk_segment"
     )
@@ -151,7 +193,7 @@ def _(t):
 
 @query("classifier_metrics")
 def _(t):
-    validation, _ = classified(t)
+    validation = classified(t, 3)
     scored = t.table("validation_scores", lambda: validation.select("customer_code", "target_active_next_30d", "p_order_next_30d"))
     auc = stats.roc_auc(scored, "target_active_next_30d", "p_order_next_30d")
     ap = stats.average_precision(scored, "target_active_next_30d", "p_order_next_30d").scalar()
