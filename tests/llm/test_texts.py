@@ -251,6 +251,20 @@ def test_licence_base(spark, folder, odd_docs, no_docs):
     assert licenses.op6(spark, odd_docs).count() == odd_docs.count() and licenses.op6(spark, no_docs).count() == 0
 
 
+def test_a_better_notice_hides_none_beside_it():
+    scanner = licenses.Scanner()
+    for text, label, want in [
+        ("all rights reservd all rights reserved", "proprietary", [(0, 2, 1), (3, 5, 0)]),
+        ("all rights reserved all rights reservd x all rights reserved", "proprietary", [(0, 2, 0), (3, 5, 1), (7, 9, 0)]),
+        ("releasd under the mit license released under the mit license", "mit", [(0, 4, 1), (5, 9, 0)]),
+        ("releasd undr the mit license releasd under the mit license released under the mit license", "mit", [(0, 4, 2), (5, 9, 1), (10, 14, 0)]),
+    ]:
+        spans = scanner.scan(text.encode())[-1]
+        assert [(first, last, edits) for of, first, last, edits, _ in spans if of == label] == want, text
+    many = "all rights reservd " * 3000 + "all rights reserved"
+    assert [s[3] for s in scanner.scan(many.encode())[-1]] == [1] * 3000 + [0]
+
+
 def test_licence_notices_bear_edits():
     scanner = licenses.Scanner()
     for text, label, edits in [

@@ -8,8 +8,10 @@ single spaces. Two searches run over the whole text:
 *Notices.* A notice of n characters may differ in up to ``errors`` edits. Cut into ``errors`` + 1
 pieces, at least one piece must occur unchanged (pigeonhole). One automaton over all pieces of all
 notices finds these seeds; around each, the window that the notice could fill is matched with the
-regex library's bounded-error search, which verifies the edits and gives the span. Windows of one
-notice that overlap are searched as one, so a text full of seeds is gone through once.
+regex library's bounded-error search, which verifies the edits. Windows of one notice that overlap
+are searched as one, so a text full of seeds is gone through once, from left to right: around each
+match the best of those that overlap it gives the span, and what is left before that is searched
+again, so a better copy never hides a poorer one beside it.
 
 A notice adds its label to those of the base phrases. The score is the best agreement: 1 for a base
 phrase or an exact notice, less by the share of edited characters for others, 0 without any.
@@ -62,8 +64,10 @@ class Scanner:
         self.base = [(re.compile(rb"(?<![^ ])(?=" + phrase.encode() + rb"(?![^ ]))"), len(phrase.split()), label) for phrase, label in base]
         self.must = sorted({phrase.split()[-1].encode() for phrase, _ in base})
         self.notices = notices
-        #: The best match: fewest edits, whole words at both ends are not asked for.
-        self.fuzzy = [regex.compile(rf"(?b)(?:{regex.escape(words, special_only=True)}){{e<={errors}}}") for words, _, errors in notices]
+        #: The first match, and the best: fewest edits, whole words at both ends are not asked for.
+        bounded = [rf"(?:{regex.escape(words, special_only=True)}){{e<={errors}}}" for words, _, errors in notices]
+        self.first = [regex.compile(x) for x in bounded]
+        self.fuzzy = [regex.compile(f"(?b){x}") for x in bounded]
         self.seeds = ahocorasick.Automaton()
         starts: dict[str, list[tuple[int, int]]] = {}
         for k, (words, _, errors) in enumerate(notices):
@@ -90,12 +94,22 @@ class Scanner:
                     spans.append([low, high])
         return found
 
+    def matches(self, k: int, text: str, low: int, high: int) -> Iterator:
+        """Matches of a notice between two places, from left to right; of those that overlap, the best."""
+        words, _, errors = self.notices[k]
+        while m := self.first[k].search(text, low, high):
+            best = self.fuzzy[k].search(text, m.start(), min(high, m.end() + len(words) + errors)) or m
+            if best.start() > m.start():
+                yield from self.matches(k, text, m.start(), best.start())
+            yield best
+            low = best.end()
+
     def notices_in(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) of verified matches in characters, one after the other in a window."""
         found = []
         for k, spans in self.windows(text).items():
             for low, high in spans:
-                for m in self.fuzzy[k].finditer(text, max(0, low), min(len(text), high)):
+                for m in self.matches(k, text, max(0, low), min(len(text), high)):
                     found.append((k, m.start(), m.end(), sum(m.fuzzy_counts)))
         return found
 
