@@ -82,6 +82,27 @@ def test_a_star_keeps_all_its_links(spark):
     assert all(got[i][1] == (0 if i <= 1500 else i) for i in got)
 
 
+def test_near_duplicates_do_not_depend_on_partitions(spark):
+    """Small tables over many partitions, vectors of several sizes mixed: every pair is still compared."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for size in (8, 12):
+        centres = rng.standard_normal((4, size))
+        rows += [(len(rows) + i, v.tolist(), 1) for i, v in enumerate(np.repeat(centres, 3, axis=0) + 0.02 * rng.standard_normal((12, size)))]
+    want = {}
+    for i, v, _ in rows:
+        near = [j for j, w, _ in rows if len(w) == len(v) and np.dot(v, w) >= 0.98 * np.linalg.norm(v) * np.linalg.norm(w)]
+        want[i] = len(near) - 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = embeddings.op5(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+            assert {r["vec_id"]: r["n_links"] for r in got} == want, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_passes_grow_with_the_table():
     assert 4 <= embeddings.passes_for(0) <= embeddings.passes_for(10**4) < embeddings.passes_for(10**9) < 100
 
