@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, neighbours, quality, simhash, toxicity, warc
+from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, neighbours, quality, simhash, toxicity, variants, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": _over("conversations", chat.op8),
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9),
     "op10_warc": _over("pages", warc.op10),
+    "op11_spelling_variants": _over("documents", variants.op11),
 }
 #: Marks of the chat template, for the lengths that its escapes add.
 _CONTROL = r"(\[/?SYS\]|\[/?INST\]|\[ANS\]|\[/?ROLE\]|\[SAYS\]|</?s>)"
@@ -77,4 +78,29 @@ b AS (SELECT sha, max(page_id) AS best FROM d GROUP BY 1)
 SELECT page_id, payload_bytes, array_to_string([{_BASE32} FOR i IN range(8)], '') AS payload_digest,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
 FROM d JOIN b USING (sha)""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+run AS (
+  SELECT d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, text FROM documents)),
+coded AS (
+  SELECT run, n, xor(4294967295, list_reduce(flatten([CASE WHEN u < 128 THEN [u] ELSE [195, u - 64] END FOR u IN [CAST(unicode(c) AS BIGINT) FOR c IN string_split(d || ':' || run, '')]]),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295)) AS h FROM (SELECT d, run, count(*) AS n FROM run GROUP BY ALL), crc),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM coded)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+skip AS (SELECT word, i, word[:i] AS head, word[i + 2:] AS tail FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pair AS (
+  SELECT a.word AS a, b.word AS b FROM skip a JOIN skip b USING (i, head, tail) WHERE a.word <> b.word
+  UNION SELECT s.word, v.word FROM skip s JOIN v ON v.word = s.head || s.tail
+  UNION SELECT v.word, s.word FROM skip s JOIN v ON v.word = s.head || s.tail),
+near AS (
+  SELECT a AS word, count(*) AS n_near, max(o.n) AS best, arg_min(b, (-o.n, encode(b))) AS other
+  FROM pair JOIN v o ON o.word = b GROUP BY 1),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * v.n THEN other END AS form FROM v LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS at FROM form UNION ALL SELECT w.word, f.form FROM walk w JOIN form f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, g.n AS form_n
+FROM form f JOIN walk w ON w.word = f.word JOIN form e ON e.word = w.at AND e.form IS NULL LEFT JOIN form g ON g.word = f.form""",
 }
