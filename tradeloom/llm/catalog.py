@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, neighbours, quality, simhash, toxicity, variants, warc
+from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, negatives, neighbours, quality, simhash, toxicity, variants, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9),
     "op10_warc": _over("pages", warc.op10),
     "op11_spelling_variants": _over("documents", variants.op11),
+    "op13_hard_negatives": _over("embeddings", negatives.op13),
 }
 #: Marks of the chat template, for the lengths that its escapes add.
 _CONTROL = r"(\[/?SYS\]|\[/?INST\]|\[ANS\]|\[/?ROLE\]|\[SAYS\]|</?s>)"
@@ -103,4 +104,17 @@ form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10
 walk AS (SELECT word, word AS at FROM form UNION ALL SELECT w.word, f.form FROM walk w JOIN form f ON f.word = w.at WHERE f.form IS NOT NULL)
 SELECT f.word, f.form, w.at AS root, f.n, f.n_near, g.n AS form_n
 FROM form f JOIN walk w ON w.word = f.word JOIN form e ON e.word = w.at AND e.form IS NULL LEFT JOIN form g ON g.word = f.form""",
+    "op13_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (
+  SELECT p.a, p.b, p.s, s.b AS other, s.s AS reached, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, other AS negative_id, s AS positive_score, reached AS negative_score
+FROM n WHERE rank <= 3""",
 }
