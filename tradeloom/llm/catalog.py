@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, negatives, neighbours, quality, simhash, toxicity, variants, warc
+from tradeloom.llm import bpe, chat, embeddings, licenses, mixing, negatives, neighbours, quality, repeats, simhash, toxicity, variants, warc
 from tradeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op9_nearest_neighbours": _over("embeddings", neighbours.op9),
     "op10_warc": _over("pages", warc.op10),
     "op11_spelling_variants": _over("documents", variants.op11),
+    "op12_substring_dedup": _over("documents", repeats.op12),
     "op13_hard_negatives": _over("embeddings", negatives.op13),
 }
 #: Marks of the chat template, for the lengths that its escapes add.
