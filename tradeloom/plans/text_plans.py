@@ -731,7 +731,7 @@ def _(t):
     one = orders.select(F.array(F.struct("so_number", "customer_name", "lines")).alias("ready_orders"))
     path = folder(t, "orders_json")
     readers.write_json(one, path)
-    read = readers.scan_orders_json(t.spark, path, multi_line=False)
+    read = readers.scan_orders_json(t.spark, path)
     return documents.flatten_orders(read.select("so_number", "customer_name", "lines")).select(
         "so_number", "customer_name", "product_code", "quantity", "line_total"
     )
