@@ -353,38 +353,6 @@ def test_csv_with_byte_order_mark_and_line_breaks(spark, tmp_path):
     assert tuple(row) == ("007", "Hưng\nYên", "Bắc")
 
 
-def test_manifest(spark, tmp_path):
-    import hashlib
-
-    from tradeloom.sources import readers
-
-    (tmp_path / "a.csv").write_bytes(b"abc")
-    row = readers.input_manifest(spark, str(tmp_path)).first()
-    assert (row["file_name"], row["n_bytes"], row["sha256"]) == ("a.csv", 3, hashlib.sha256(b"abc").hexdigest())
-
-
-def test_manifest_streams_long_files(spark, tmp_path):
-    import hashlib
-    import os
-
-    from tradeloom.sources import readers
-
-    want = {}
-    for name, size in [("a b.bin", 1), ("c%20d.bin", 1000), ("e.bin", 1001), ("f g.bin", 5_000_000)]:
-        content = os.urandom(size)
-        (tmp_path / name).write_bytes(content)
-        want[name] = (size, hashlib.sha256(content).hexdigest())
-    with open(tmp_path / "sparse.bin", "wb") as file:  # more than one row can hold
-        file.truncate((2 << 30) + 5)
-    digest = hashlib.sha256()
-    for _ in range(2048):
-        digest.update(bytes(1 << 20))
-    digest.update(bytes(5))
-    want["sparse.bin"] = ((2 << 30) + 5, digest.hexdigest())
-    got = readers.input_manifest(spark, str(tmp_path), "*.bin", 1000).collect()
-    assert len(got) == 5 and {r["file_name"]: (r["n_bytes"], r["sha256"]) for r in got} == want
-
-
 def test_substring_joins_with_short_names_and_long_addresses(spark):
     from tradeloom.operators import cleaning
 

@@ -1,6 +1,7 @@
 """Long files read by many tasks."""
 
 import csv
+import hashlib
 import io
 import json
 import os
@@ -8,7 +9,7 @@ import random
 
 import pytest
 
-from tradeloom.sources import readers, splits
+from tradeloom.sources import manifest, readers, splits
 
 
 @pytest.fixture
@@ -83,3 +84,32 @@ def test_csv_types_codes_and_empty_lines(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿group_code,group_name,description,created_at\n007,"a ""b""\n\nc",,2026-01-02 03:04:05\n\n010,x,"",\n', encoding="utf-8")
     got = readers.scan_typed_csv(spark, str(tmp_path / "a.csv"), readers.CSV_SCHEMAS["product_group"]).orderBy("group_code").collect()
     assert [(r[0], r[1], r[2], str(r[3])) for r in got] == [("007", 'a "b"\n\nc', None, "2026-01-02 03:04:05"), ("010", "x", None, "None")]
+
+
+@pytest.mark.parametrize("opened", [manifest.OPENED, ()])
+def test_manifest_of_files_of_any_size(spark, tmp_path, small_splits, opened):
+    """Both ways: files that tasks open, and files that only Spark reads."""
+    rng = random.Random(3)
+    contents = {
+        "a b.bin": b"x", "c%20d.bin": rng.randbytes(1000), "empty.csv": b"", "f g.bin": rng.randbytes(60_000), "line.txt": b"\n", "two.txt": b"\n\n",
+        "mark.csv": b"\xef\xbb\xbfcode\r\n1\r\n", "mark only.csv": b"\xef\xbb\xbf", "open.csv": b"a\nb", "closed.csv": b"a\nb\n", "latin.txt": "h\u00e9\n".encode("latin1"),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "folder").mkdir()
+    (tmp_path / ".hidden").write_bytes(b"x")
+    got = manifest.input_manifest(spark, str(tmp_path), chunk=7, opened=opened).collect()
+    assert len(got) == len(contents)
+    assert {r["file_name"]: (r["n_bytes"], r["sha256"]) for r in got} == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    assert manifest.input_manifest(spark, str(tmp_path), "*.nothing", opened=opened).collect() == []
+
+
+def test_manifest_streams_what_no_row_can_hold(spark, tmp_path):
+    with open(tmp_path / "sparse.bin", "wb") as file:
+        file.truncate((2 << 30) + 5)
+    digest = hashlib.sha256()
+    for _ in range(2048):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(5))
+    row = manifest.input_manifest(spark, str(tmp_path)).first()
+    assert tuple(row) == ("sparse.bin", (2 << 30) + 5, digest.hexdigest())

@@ -12,7 +12,7 @@ from tradeloom import params
 from tradeloom.functions import text
 from tradeloom.operators import audit, cleaning, documents
 from tradeloom.plans.registry import cte, query
-from tradeloom.sources import readers
+from tradeloom.sources import manifest, readers
 from tradeloom.sources.star import CALENDAR, FACT_COLUMNS, StarTables
 from tradeloom.storage import work_folder
 
@@ -793,4 +793,4 @@ def _(t):
 
 @query("input_manifest")
 def _(t):
-    return readers.input_manifest(t.spark, t.folder, "*.parquet")
+    return manifest.input_manifest(t.spark, t.folder, "*.parquet")
