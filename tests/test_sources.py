@@ -8,8 +8,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tradeloom.sources import manifest, readers, splits
+from tradeloom.sources import manifest, readers, splits, versions
 
 
 @pytest.fixture
@@ -113,3 +114,58 @@ def test_manifest_streams_what_no_row_can_hold(spark, tmp_path):
     digest.update(bytes(5))
     row = manifest.input_manifest(spark, str(tmp_path)).first()
     assert tuple(row) == ("sparse.bin", (2 << 30) + 5, digest.hexdigest())
+
+
+MONTHS = "id int, amount double, y int, m int"
+
+
+def month_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), MONTHS)
+
+
+def stored(spark, path, version=None):
+    return sorted(tuple(r) for r in versions.read(spark, path, version).collect())
+
+
+def test_a_month_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    old = [(1, 1.0, 2001, 1), (2, 2.0, 2001, 2), (3, 3.0, 2001, 3)]
+    new = [(4, 4.0, 2001, 2), (5, 5.0, 2001, 2)]
+    assert versions.commit(month_rows(spark, *old), path, ["y", "m"]) == 1
+    publish = versions._Store.publish
+    monkeypatch.setattr(versions._Store, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):  # killed after the rows are written
+        versions.commit(month_rows(spark, *new), path, ["y", "m"])
+    assert stored(spark, path) == old
+    monkeypatch.setattr(versions._Store, "publish", publish)
+    for n in (2, 3):  # a rerun gives the same table
+        assert versions.commit(month_rows(spark, *new), path, ["y", "m"]) == n
+        assert stored(spark, path) == [old[0], old[2], *new]
+    assert stored(spark, path, 1) == old
+    assert versions.commit(month_rows(spark), path, ["y", "m"], replaced=[(2001, 1)]) == 4  # a month without new rows
+    assert stored(spark, path) == [old[2], *new]
+    assert versions.commit(month_rows(spark, old[0], old[0]), path, ["y", "m"], replaced=[]) == 5
+    assert versions.commit(month_rows(spark, old[0]), path, ["y", "m"], replaced=[]) == 6
+    assert stored(spark, path) == [old[0]] * 3 + [old[2], *new]
+    assert versions.vacuum(spark, path) > 0 and versions.versions(spark, path) == [6]
+    assert stored(spark, path) == [old[0]] * 3 + [old[2], *new]
+    with pytest.raises(ValueError):
+        versions.commit(month_rows(spark, old[0]).withColumn("more", F.lit(1)), path, ["y", "m"])
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, str(tmp_path / "none"))
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    versions.commit(month_rows(spark, (1, 1.0, 2001, 1)), path, ["y", "m"])
+    publish, first = versions._Store.publish, []
+
+    def late(self, name, text):
+        if not first:  # another writer takes the number between the look and the commit
+            first.append(name)
+            versions.commit(month_rows(spark, (2, 2.0, 2001, 2)), path, ["y", "m"], replaced=[])
+        return publish(self, name, text)
+
+    monkeypatch.setattr(versions._Store, "publish", late)
+    assert versions.commit(month_rows(spark, (3, 3.0, 2001, 1)), path, ["y", "m"]) == 3
+    assert stored(spark, path) == [(2, 2.0, 2001, 2), (3, 3.0, 2001, 1)]

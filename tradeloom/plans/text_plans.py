@@ -12,7 +12,7 @@ from tradeloom import params
 from tradeloom.functions import text
 from tradeloom.operators import audit, cleaning, documents
 from tradeloom.plans.registry import cte, query
-from tradeloom.sources import manifest, readers
+from tradeloom.sources import manifest, readers, versions
 from tradeloom.sources.star import CALENDAR, FACT_COLUMNS, StarTables
 from tradeloom.storage import work_folder
 
@@ -753,14 +753,18 @@ def _(t):
     return audit.union_all(parts).groupBy("format", "processing_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_month(month: tuple[int, int]):
+    return (F.col("fiscal_year") == month[0]) & (F.col("fiscal_month") == month[1])
+
+
 @query("append_log", "SELECT message_id, CAST(received_at AS DATE) AS received_on, processing_status FROM mail_log")
 def _(t):
-    path = folder(t, "email_log")
-    earlier = t.email_log().where(F.col("processing_status") == "READY_TO_INSERT")
-    readers.write_parquet(earlier, path)  # an earlier log, replaced by the next write
-    readers.write_parquet(t.email_log(), path)
-    stored = readers.scan_parquet(t.spark, path)
-    return stored.select("message_id", F.col("received_at").cast("date").alias("received_on"), "processing_status")
+    path, keys = folder(t, "email_log"), ["received_year", "received_month"]
+    log = t.email_log().withColumns({"received_year": F.year("received_at"), "received_month": F.month("received_at")})
+    ready = F.col("processing_status") == "READY_TO_INSERT"
+    versions.commit(log.where(ready), path, keys, replaced=[])
+    versions.commit(log.where(~F.coalesce(ready, F.lit(False))), path, keys, replaced=[])
+    return versions.read(t.spark, path).select("message_id", F.col("received_at").cast("date").alias("received_on"), "processing_status")
 
 
 @query(
@@ -769,9 +773,15 @@ def _(t):
     AS total_amount FROM sales_order""",
 )
 def _(t):
-    orders = t.orders().select("order_id", "order_date", F.col("total_amount").cast("double").alias("total_amount"))
+    path, keys = folder(t, "orders_by_day"), ["fiscal_year", "fiscal_month"]
+    orders = t.orders().select("order_id", "order_date", F.col("total_amount").cast("double").alias("total_amount"), *keys)
+    versions.commit(orders.repartition(*keys), path, keys)
+    stored = versions.read(t.spark, path)
     reload = orders.withColumn("total_amount", F.col("total_amount") * 2)
-    return cleaning.replace_period(orders, reload, CALENDAR.last_month_start, CALENDAR.as_of)
+    month = (CALENDAR.year_b, CALENDAR.block_months[-1])
+    changed = cleaning.replace_period(stored.where(in_month(month)), reload, CALENDAR.last_month_start, CALENDAR.as_of)
+    versions.commit(changed, path, keys, replaced=[month])
+    return versions.read(t.spark, path).select("order_id", "order_date", "total_amount")
 
 
 @query(
@@ -780,14 +790,13 @@ def _(t):
     AS total_amount FROM sales_order GROUP BY 1, 2""",
 )
 def _(t):
-    path = folder(t, "orders_by_month")
-    keys = ["fiscal_year", "fiscal_month"]
+    path, keys = folder(t, "orders_by_month"), ["fiscal_year", "fiscal_month"]
     orders = t.orders().select("order_id", "total_amount", *keys)
-    readers.write_period(orders.repartition(*keys), path, *keys)
-    march = (F.col("fiscal_year") == CALENDAR.year_b) & (F.col("fiscal_month") == CALENDAR.block_months[-1])
-    reload = orders.where(march).withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(15,2)"))
-    readers.write_period(reload, path, *keys)
-    stored = t.spark.read.schema(orders.schema).parquet(path)
+    versions.commit(orders.repartition(*keys), path, keys)
+    month = (CALENDAR.year_b, CALENDAR.block_months[-1])
+    reload = orders.where(in_month(month)).withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(15,2)"))
+    versions.commit(reload, path, keys, replaced=[month])
+    stored = versions.read(t.spark, path)
     return stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("total_amount"))
 
 
