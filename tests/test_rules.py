@@ -404,3 +404,37 @@ def test_top_bins_are_open_and_shares_count_every_row(spark):
     df = spark.createDataFrame([(1,), (3,), (20_000,), (None,)], "v int")
     got = {r["bin"]: r for r in stats.closed_bins(df, "v", [(1, 2), (3, None)]).collect()}
     assert (got[0]["n"], got[1]["n"]) == (1, 2) and (got[0]["share_pct"], got[1]["cumulative_pct"]) == (25.0, 75.0)
+
+
+def test_substring_joins_match_brute_force(spark):
+    """Keys of every length, letters of two and four bytes, names of 10 000 characters, a gram that all texts hold."""
+    import random
+
+    from tradeloom.operators import cleaning
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abé😀") for _ in range(n))
+    texts = [word(rng.randint(0, 12)) for _ in range(150)] + [word(10_000), "abab" + word(10_000), "", "ab"]
+    keys = [word(rng.randint(0, 7)) for _ in range(120)] + ["", "zz", "aa" * 4000, texts[150][2000:9000]]
+    left = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    right = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string")
+    want = {(t, k) for t in texts for k in keys if k and k in t}
+    got = [tuple(r) for r in cleaning.contained_keys(left, right, "t", "k").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert cleaning.contained_keys(left, right.limit(0), "t", "k").collect() == []
+
+    lines = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "line_id int, line_key string")
+    found = {r["t"]: r["line_id"] for r in cleaning.join_contains_unique(left, lines, "t").collect()}
+    last = {k: i for i, k in enumerate(keys)}
+    for t in set(texts):
+        hits = [i for k, i in last.items() if k in t or t in k]
+        assert found[t] == (hits[0] if len(hits) == 1 else None)
+
+
+def test_substring_join_plan_cuts_texts_once(spark):
+    """A gram row has a hash of its text; the texts themselves are exchanged for the candidates only."""
+    from tradeloom.operators import cleaning
+
+    texts = spark.createDataFrame([("some long text",)], "t string")
+    plan = cleaning.contained_keys(texts, spark.createDataFrame([("long",)], "k string"), "t", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "__gram" in plan

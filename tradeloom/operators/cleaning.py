@@ -71,50 +71,58 @@ def sync_from_dimension(fact: DataFrame, dimension: DataFrame, key: str, columns
 # substring joins -------------------------------------------------------------------
 
 
-def _pieces(value: Column, lengths: Column) -> Column:
-    """All substrings of ``value`` whose length is in ``lengths``."""
+#: Length of the grams of the index; shorter keys are grams themselves.
+GRAM = 3
 
-    def of_length(size: Column) -> Column:
-        last = F.length(value) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(value, i, size))
 
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+def _grams(value: Column, size: int) -> Column:
+    """All stretches of ``size`` characters; the characters are cut once, so the work grows with the length."""
+    letters = F.split(value, "")
+    shifted = [F.slice(letters, i + 1, F.greatest(F.length(value), F.lit(1))) for i in range(size)]
+    joined = F.transform(F.arrays_zip(*[s.alias(f"c{i}") for i, s in enumerate(shifted)]), lambda z: F.concat(*[z.getField(f"c{i}") for i in range(size)]))
+    return F.filter(joined, lambda g: g.isNotNull())
+
+
+def contained_keys(texts: DataFrame, keys: DataFrame, text: str, key: str, gram: int = GRAM) -> DataFrame:
+    """(text, key): each distinct pair in which the text contains the key; both are not empty.
+
+    An index holds each key under the rarest of its grams, counted over all texts, so a text meets only keys of
+    which it holds the rarest part, and ``contains`` decides. A gram row carries a hash of its text; texts
+    join again once, for the candidates. Keys that no text holds a gram of never leave the index.
+    """
+    told = texts.select(text).where(F.length(text) > 0).distinct().withColumn("__id", F.xxhash64(text))
+    asked = keys.select(key).where(F.length(key) > 0).distinct().withColumn("__size", F.least(F.length(key), F.lit(gram)))
+    sizes = asked.agg(F.collect_set("__size")).scalar()  # at most ``gram`` numbers
+    none = F.array().cast("array<string>")
+    every = [F.when(F.array_contains(sizes, n) & (F.length(text) >= n), _grams(F.col(text), n)).otherwise(none) for n in range(1, gram + 1)]
+    of_texts = told.select("__id", F.explode(F.array_distinct(F.concat(*every))).alias("__gram"))
+    own = F.when(F.col("__size") < gram, F.array(key)).otherwise(F.array_distinct(_grams(F.col(key), gram)))
+    of_keys = asked.select(key, F.explode(own).alias("__gram"))
+    counts = of_texts.join(of_keys.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = of_keys.join(counts, "__gram", "left").groupBy(key).agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("gram"))).alias("__least")
+    )
+    index = rarest.where("__least.n > 0").select(key, F.col("__least.gram").alias("__gram"))
+    near = of_texts.join(index, "__gram").select("__id", key)
+    return near.join(told, "__id").where(F.contains(text, key)).select(text, key)
 
 
 def join_contains_unique(names: DataFrame, lines: DataFrame, key: str = "product_key") -> DataFrame:
     """Line of each key when exactly one line key contains it or is contained in it, else NULL.
 
-    Containment becomes an equi join: one side is cut into substrings whose lengths occur on
-    the other side, so no pair of unrelated rows is ever compared. What contains a key is counted
-    per substring before the join, so a key of one letter, which nearly every line has, still
-    brings one row. An empty key is contained in every line key. Of lines with the same key the one
-    with the largest id counts.
+    An empty key is contained in every line key. Of lines with the same key the one with the largest id counts.
     """
     line_keys = lines.groupBy("line_key").agg(F.max("line_id").alias("line_id"))
     keys = names.select(key).where(F.col(key).isNotNull()).distinct()
-    line_lengths = line_keys.agg(F.collect_set(F.length("line_key"))).scalar()
-    key_lengths = keys.agg(F.collect_set(F.length(key))).scalar()
-    sized = F.col("__lengths")
-    hits = [F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id")]
-    inside_name = (
-        keys.withColumn("__lengths", line_lengths)
-        .select(key, F.explode(_pieces(F.col(key), sized)).alias("line_key"))
-        .join(line_keys, "line_key")
-        .groupBy(key)
-        .agg(*hits)
-    )
-    around_name = (
-        line_keys.withColumn("__lengths", key_lengths)
-        .select("line_key", "line_id", F.explode(_pieces(F.col("line_key"), sized)).alias(key))
-        .where((F.col(key) != "") & (F.col(key) != F.col("line_key")))  # an equal key counts on the other side
-        .groupBy(key)
-        .agg(*hits)
-        .join(keys, key, "left_semi")
-    )
-    found = inside_name.unionByName(around_name).groupBy(key).agg(F.sum("n").alias("n"), F.min("line_id").alias("line_id"))
+    inside = contained_keys(keys, line_keys, key, "line_key")
+    around = contained_keys(line_keys, keys, "line_key", key).where(F.col(key) != F.col("line_key"))  # an equal key counts once
+    hits = inside.unionByName(around).join(line_keys, "line_key")
+    empty_line = line_keys.where("line_key = ''").select("line_id")  # is contained in every key
+    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))
     every_line = line_keys.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))).scalar()
-    only_one = F.when(F.col("n") == 1, F.col("line_id"))
+    empty = empty_line.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("line_id"))).scalar()
+    n = F.coalesce("n", F.lit(0)) + empty.getField("n")
+    only_one = F.when(n == 1, F.coalesce("line_id", empty.getField("line_id")))
     of_empty = F.when(every_line.getField("n") == 1, every_line.getField("line_id"))
     return keys.join(found, key, "left").select(key, F.when(F.col(key) == "", of_empty).otherwise(only_one).alias("line_id"))
 
@@ -122,26 +130,13 @@ def join_contains_unique(names: DataFrame, lines: DataFrame, key: str = "product
 def join_address_to_province(customers: DataFrame, provinces: DataFrame) -> DataFrame:
     """Province for customers without one from the name found last in the address.
 
-    The address is cut into substrings as long as some name, each with its position; they meet the
-    names in an equi join. A row carries the substring only, so the work grows with the length of
-    the address. Of several hits the one that starts latest wins, then the longer name, then the
-    smaller id.
+    Of several names the one that starts latest (at its first place) wins, then the longer name, then the smaller id.
     """
-    names = provinces.select(
-        "province_id", F.lower("province_name_clean").alias("piece"), F.length("province_name_clean").alias("size")
-    ).where("size > 0")
-    sizes = names.agg(F.collect_set("size")).scalar()
-    open_rows = customers.where(F.col("province_id").isNull() & F.col("address").isNotNull()).select(
-        "customer_code", F.lower("address").alias("address"), sizes.alias("sizes")
-    )
-    last = F.length("address") - F.col("size") + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    cuts = F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col("address"), i, F.col("size")).alias("piece")))
-    cut = open_rows.select("customer_code", "address", F.explode("sizes").alias("size"))
-    cut = cut.select("customer_code", F.explode(cuts).alias("c")).select("customer_code", "c.piece", "c.at")
-    first_hit = cut.join(names, "piece").groupBy("customer_code", "province_id", "size").agg(F.min("at").alias("at"))
-    best = F.max_by("province_id", F.struct("at", "size", -F.col("province_id")))
-    return first_hit.groupBy("customer_code").agg(best.alias("province_id"))
+    names = provinces.select("province_id", F.lower("province_name_clean").alias("name"), F.length("province_name_clean").alias("size"))
+    open_rows = customers.where(F.col("province_id").isNull() & F.col("address").isNotNull()).select("customer_code", F.lower("address").alias("address"))
+    hits = contained_keys(open_rows, names, "address", "name").join(names, "name")
+    best = F.max_by("province_id", F.struct(F.instr("address", F.col("name")).alias("at"), "size", -F.col("province_id")))
+    return open_rows.join(hits.groupBy("address").agg(best.alias("province_id")), "address").select("customer_code", "province_id")
 
 
 # upserts and reloads ----------------------------------------------------------------
