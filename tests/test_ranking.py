@@ -1,5 +1,6 @@
 """Exact ranks and quantiles with a third of the rows on one key and value."""
 
+import math
 import random
 
 import numpy as np
@@ -137,3 +138,46 @@ def test_pareto_keeps_ties_at_the_border(spark):
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate([100.0, 50.0, 50.0, 10.0, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0])], "k string, m double")
     row = pareto_top_share(df, "m").first()
     assert (row["top_customers"], row["top_revenue"]) == (3, 200.0)
+
+
+@pytest.mark.parametrize("small, stretches", [(4096, 4096), (20, 4096), (20, 3), (0, 1)])
+def test_all_ways_give_the_same_quantiles(skewed, monkeypatch, small, stretches):
+    """Sorted groups, and groups that are narrowed in many or few stretches."""
+    monkeypatch.setattr(ranking, "SMALL", small)
+    monkeypatch.setattr(ranking, "STRETCHES", stretches)
+    rows, df = skewed
+    probs = {f"p{i}": i / 10 for i in range(11)} | {"p999": 0.999}
+    for keys in (["g"], []):
+        got = {r["g"] if keys else 0: tuple(r[p] for p in probs) for r in ranking.quantiles(df, keys, "v", probs).collect()}
+        assert len(got) == (4 if keys else 1)
+        for g, values in got.items():
+            mine = sorted(v for _, x, v in rows if not keys or x == g)
+            want = []
+            for p in probs.values():
+                at = p * (len(mine) - 1)
+                lo, hi = mine[math.floor(at)], mine[math.ceil(at)]
+                want.append(lo + (hi - lo) * (at - math.floor(at)))
+            assert values == tuple(want)
+
+
+def test_tied_fractions_stay_what_they_are(spark):
+    """An edge between equal values is that value to the last bit, so no row changes its bin."""
+    value = 0.1 + 0.2
+    df = spark.createDataFrame([(i, value if 40 < i < 160 else i / 300) for i in range(200)], "k int, v double")
+    probs = {f"e{i}": i / 37 for i in range(38)}
+    row = ranking.quantiles(df, [], "v", probs).first()
+    assert sum(row[p] == value for p in probs) >= 20
+    assert [row[p] for p in probs] == sorted(row[p] for p in probs)
+
+
+def test_quantiles_of_values_that_are_no_numbers(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -inf, -5.0, 0.0, 1e-300, 3.0, 3.0, 1e300, inf, nan, nan]
+    df = spark.createDataFrame([(v,) for v in values * 2], "v double")
+    probs = {f"p{i}": i / 21 for i in range(22)}
+    for small in (4096, 1):
+        monkeypatch.setattr(ranking, "SMALL", small)
+        row = ranking.quantiles(df, [], "v", probs).first()
+        want = [v for v in values for _ in range(2)]
+        for p, w in zip(probs, want):
+            assert row[p] == w or (math.isnan(row[p]) and math.isnan(w))
