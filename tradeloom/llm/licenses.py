@@ -13,6 +13,9 @@ are searched as one, so a text full of seeds is gone through once, from left to
 match the best of those that overlap it gives the span, and what is left before that is searched
 again, so a better copy never hides a poorer one beside it.
 
+The name in a notice is what tells licences apart ("mit", "bsd"), so it bears at most one edit, and none if it is short; the
+other edits are those of the words around it.
+
 A notice adds its label to those of the base phrases. The score is the best agreement: 1 for a base
 phrase or an exact notice, less by the share of edited characters for others, 0 without any.
 
@@ -26,6 +29,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,20 +39,22 @@ from tradeloom.llm.common import bound_batches, free_name, utf8
 #: Base phrases and labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Notices in words, their labels, and the edits they bear.
+#: Notices in words, their labels, the edits they bear, and the name in them that tells the licence: it may not be
+#: edited if it has fewer than ``LONG`` letters, and by one edit otherwise.
 NOTICES = (
-    ("released under the mit license", "mit", 3),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("licensed under the apache license version 2 0", "apache", 4),
-    ("this work is licensed under the gnu general public license version 3", "gpl", 6),
-    ("gnu lesser general public license", "lgpl", 2),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 7),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl", 6),
-    ("licensed under cc by nc 4 0", "cc-by-nc", 1),
-    ("licensed under cc by sa 4 0", "cc-by-sa", 1),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by", 5),
-    ("all rights reserved", "proprietary", 1),
+    ("released under the mit license", "mit", 3, "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6, ""),
+    ("licensed under the apache license version 2 0", "apache", 4, "apache"),
+    ("this work is licensed under the gnu general public license version 3", "gpl", 6, "gnu general public"),
+    ("gnu lesser general public license", "lgpl", 2, "lesser general public"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 7, ""),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", 6, "mozilla"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", 1, "nc"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", 1, "sa"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by", 5, "attribution"),
+    ("all rights reserved", "proprietary", 1, ""),
 )
+LONG = 6
 
 #: Bytes that belong to no word become spaces, capitals small letters; other bytes stay.
 _TABLE = bytes(
@@ -65,12 +71,12 @@ class Scanner:
         self.must = sorted({phrase.split()[-1].encode() for phrase, _ in base})
         self.notices = notices
         #: The first match, and the best: fewest edits, whole words at both ends are not asked for.
-        bounded = [rf"(?:{regex.escape(words, special_only=True)}){{e<={errors}}}" for words, _, errors in notices]
+        bounded = [self._pattern(regex, *notice) for notice in notices]
         self.first = [regex.compile(x) for x in bounded]
         self.fuzzy = [regex.compile(f"(?b){x}") for x in bounded]
         self.seeds = ahocorasick.Automaton()
         starts: dict[str, list[tuple[int, int]]] = {}
-        for k, (words, _, errors) in enumerate(notices):
+        for k, (words, _, errors, _) in enumerate(notices):
             edges = [len(words) * i // (errors + 1) for i in range(errors + 2)]
             for a, b in zip(edges, edges[1:]):
                 starts.setdefault(words[a:b], []).append((k, a))
@@ -78,12 +84,25 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
+    @staticmethod
+    def _pattern(regex, words: str, label: str, errors: int, name: str) -> str:
+        """The notice with its edits; the name stands between word ends, its edits are bounded apart."""
+
+        def part(x: str, n: int) -> str:
+            return rf"(?:{regex.escape(x, special_only=True)}){{e<={n}}}" if x else ""
+
+        if not name:
+            return part(words, errors)
+        at = f" {words} ".index(f" {name} ")
+        own = part(name, 1) if len(name) >= LONG else regex.escape(name, special_only=True)
+        return part(words[:at], errors) + rf"(?<![^ ]){own}(?![^ ])" + part(words[at + len(name) :], errors)
+
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Per notice, the stretches of the text in which it may stand, those that overlap as one."""
         found: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.seeds.iter(text):
             for k, offset in places:
-                words, _, errors = self.notices[k]
+                words, _, errors, _ = self.notices[k]
                 low = end + 1 - size - offset - errors
                 high = low + len(words) + 2 * errors
                 spans = found.setdefault(k, [])
@@ -96,9 +115,12 @@ class Scanner:
 
     def matches(self, k: int, text: str, low: int, high: int) -> Iterator:
         """Matches of a notice between two places, from left to right; of those that overlap, the best."""
-        words, _, errors = self.notices[k]
+        words, _, errors, _ = self.notices[k]
         while m := self.first[k].search(text, low, high):
             best = self.fuzzy[k].search(text, m.start(), min(high, m.end() + len(words) + errors)) or m
+            if sum(best.fuzzy_counts) > errors:  # the parts beside a name share the bound; another one may start within
+                low = m.start() + 1
+                continue
             if best.start() > m.start():
                 yield from self.matches(k, text, m.start(), best.start())
             yield best
@@ -130,14 +152,17 @@ class Scanner:
             for pattern, _, label in self.base:
                 base += [(word_at(m.start()), label) for m in pattern.finditer(joined)]
         text = joined.decode()
-        spans = []
+        spans, offsets = [], None
         best = 1.0 if base else 0.0
         for k, a, b, edits in self.notices_in(text):
-            phrase, label, _ = self.notices[k]
+            phrase, label, *_ = self.notices[k]
             agreement = 1 - edits / len(phrase)
             best = max(best, agreement)
-            to_bytes = (lambda i: len(text[:i].encode())) if len(text) != len(joined) else (lambda i: i)
-            spans.append((label, word_at(to_bytes(a)), word_at(to_bytes(max(a, b - 1))), edits, agreement))
+            if len(text) != len(joined) and offsets is None:
+                letters = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                offsets = np.concatenate([[0], np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF))])
+            first, last = (a, max(a, b - 1)) if offsets is None else (int(offsets[a]), int(offsets[max(a, b - 1)]))
+            spans.append((label, word_at(first), word_at(last), edits, agreement))
         at = [i for i, _ in base]
         base_labels = sorted({label for _, label in base})
         labels = sorted({*base_labels, *(s[0] for s in spans)})
