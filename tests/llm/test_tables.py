@@ -271,3 +271,35 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, folder):
             docs = stage(spark, docs, folder)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+# Odd sizes ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("factor", [1e160, 1e300, 1e-100])
+def test_neighbours_of_vectors_of_any_length(spark, factor):
+    """One very long (or all very short) vector: the others keep their neighbours."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 8))
+    x[7] *= factor if factor > 1 else 1
+    if factor < 1:
+        x *= factor
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    got = collections.defaultdict(list)
+    for r in neighbours.op9(spark, table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert sorted(got) == [0, 20, 40] and all(len(v) == 20 for v in got.values())
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    for q in got:  # by the query's direction, which orders alike and overflows less
+        near = sorted((-float(unit[q] @ x[i]), i) for i in range(60) if i != q)
+        assert got[q] == [i for _, i in near[:20]]
+
+
+def test_a_sample_of_repeated_rows_is_not_empty(spark):
+    from tradeloom.llm.common import first_by_hash
+
+    for doc in (1, 2, 3):
+        same = spark.range(20_000).selectExpr(f"{doc} AS doc_id", "1 AS quality")
+        assert first_by_hash(same, 500, 42, "doc_id", "quality").count() == 500
+    mixed = spark.range(20_000).selectExpr("id % 7000 AS doc_id")
+    assert first_by_hash(mixed, 500, 42, "doc_id").count() == 500

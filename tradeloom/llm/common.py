@@ -57,8 +57,9 @@ def first_by_hash(df: DataFrame, size: int, seed: int, *columns: str) -> DataFra
     """At most ``size`` rows: those first in a seeded order of ``columns``.
 
     Rows that lie far back in the order are left out before anything is sorted, so what one task
-    sorts stays near ``size`` however long the table is.
+    sorts stays near ``size`` however long the table is. Equal rows have one place, so places are
+    shared out by the number of different ones.
     """
     place = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40))
-    near = int((1 << 40) * min(1.0, 1.3 * (size + 100) / max(1, df.count())))
+    near = int((1 << 40) * min(1.0, 1.3 * (size + 100) / max(1, df.select(*columns).distinct().count())))
     return df.filter(place <= near).orderBy(place, *columns).limit(size)

@@ -50,6 +50,11 @@ def lift(x: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, largest**2 - (x**2).sum(axis=1)))])
 
 
+def scaled(x: np.ndarray, exponent: np.ndarray | int) -> np.ndarray:
+    """Rows times a power of two, which changes no digit; squares of what is left fit a double."""
+    return np.ldexp(x, -np.asarray(exponent))
+
+
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     d = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
     return np.sqrt(np.maximum(0.0, d))
@@ -136,11 +141,14 @@ def _assign(shipped):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                d = distances(lift(matrix(part.column(1)), largest), centres)
+                x = scaled(matrix(part.column(1)), shipped.value["exponent"])
+                d = distances(lift(x, largest), centres)
                 near = np.argsort(d, axis=1)[:, :copies]
                 close = np.take_along_axis(d, near, axis=1)
                 rows, which = np.nonzero(close <= close[:, :1] * (1 + BOUNDARY))
-                took = part.take(pa.array(rows))
+                flat = x[rows]
+                vectors = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, x.shape[1], dtype=np.int32), pa.array(flat.ravel()))
+                took = part.take(pa.array(rows)).set_column(1, "v", vectors)
                 lists = pa.array(near[rows, which].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([lists, *took.columns], names=["list", "id", "v", "least"])
 
@@ -156,6 +164,9 @@ def _probe(shipped):
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 x = matrix(part.column(1))
+                x = scaled(x, np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # a query's length changes no order
+                vectors = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                part = part.set_column(1, "v", vectors)
                 x = np.column_stack([x, np.zeros(len(x))])
                 rows, lists, cells = [], [], []
                 for r, query in enumerate(x):
@@ -246,12 +257,14 @@ def nearest(
 
 
 def _search(spark: SparkSession, points: DataFrame, asking: DataFrame, k: int, n_parts: int, seed: int) -> DataFrame:
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, largest = points.agg(F.count("*"), F.max(norm)).first()
+    n, peak = points.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
+    exponent = int(np.frexp(peak)[1])
+    small = F.transform("v", lambda x: x * F.lit(2.0 ** -(exponent // 2)) * F.lit(2.0 ** -(exponent - exponent // 2)))
+    largest = points.agg(F.max(F.sqrt(F.aggregate(small, F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     sample = first_by_hash(points, SAMPLE, seed, "v").select("v").toArrow()
     lists = int(min(LISTS, max(1, math.ceil(n / LIST_SIZE))))
-    graph = Graph(centroids(lift(matrix(sample.column(0).combine_chunks()), largest), lists, seed))
-    shipped = spark.sparkContext.broadcast({"graph": graph, "largest": largest})  # at most ``LISTS`` centroids
+    graph = Graph(centroids(lift(scaled(matrix(sample.column(0).combine_chunks()), exponent), largest), lists, seed))
+    shipped = spark.sparkContext.broadcast({"graph": graph, "largest": largest, "exponent": exponent})  # at most ``LISTS`` centroids
     posted = points.select("id", "v", "least")
     posted = posted.mapInArrow(_assign(shipped), "list int, id bigint, v array<double>, least bigint")
     posted = materialize(posted, "ann-lists")
