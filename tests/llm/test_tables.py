@@ -178,12 +178,42 @@ def test_odd_conversations(spark):
         assert (r["n_turns"], r["turns_sha256"]) == (len(found), digest)
         assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
     assert {c for c, r in got.items() if r["valid"]} == {1, None, 5, -1}
-    codec = chat.Codec(chat.DEFAULT)
-    parts = [r for r in chat.format_chat(turns).filter("conv_id = 2").orderBy("seq").collect()]
-    assert chat.split_marks(codec, "".join(r["text"] for r in parts)) == [r["text"] for r in parts]
     assert chat.read_back(chat.format_chat(turns.filter("false"))).count() == 0
 
 
+def read_in_pieces(codec, parts, size):
+    reader, text, at = chat.Reader(codec), "".join(p for p, _ in parts), 0
+    for part, loss in parts:
+        if loss:
+            reader.mask(at, at + len(part))
+        at += len(part)
+    for i in range(0, len(text), size):
+        reader.feed(text[i : i + size])
+    reader.finish()
+    return reader
+
+
+@pytest.mark.parametrize("escaped", [True, False])
+def test_turns_are_found_in_the_joined_text(monkeypatch, escaped):
+    """Whatever the pieces; without escaping, texts that look like marks break the turns."""
+    if not escaped:
+        monkeypatch.setattr(chat.Codec, "escape", lambda self, text: text)
+    codec, rng = chat.Codec(chat.DEFAULT), random.Random(6)
+    parts = ["[INST]", "</s>", "[/INST]", "[ANS]", "\\", "[SAYS]", "[/ROLE]", "<s>", "plain ", "[", "]"]
+    wrong = 0
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "system", "tool", "[SAYS]"]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))) for _ in range(4)]
+        made = [("<s>", False)] + [p for role, text in turns for p in codec.turn(role, text)]
+        learned = "".join(text for role, text in turns if role == "assistant").encode()
+        want = (4, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), hashlib.sha256(learned).hexdigest())
+        try:
+            found = [read_in_pieces(codec, made, size) for size in (1, 3, 1000)]
+            wrong += any((r.n_turns, r.turns.hexdigest(), r.loss.hexdigest()) != want for r in found)
+        except ValueError:
+            wrong += 1
+    assert wrong == 0 if escaped else wrong > 200
+
+
 # WARC ------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ A ``Template`` states, for each role, what stands before and after a turn and wh
 trained on, and which role may follow which. The machine walks the turns of a conversation in order,
 checks each step against the allowed ones, and emits text segments, each with its loss flag. The
 segments of a conversation, put together, are its formatted text; marks and texts are segments of
-their own, so the loss mask covers texts only.
+their own, so the loss mask covers texts only. Reading back starts from the text and the mask: a
+parser of the template's marks finds the turns.
 
 Control strings inside texts are escaped by a backslash after their first character, and a
 backslash by another one; so no text can look like a mark, and the way back is exact.
@@ -142,60 +143,72 @@ def format_chat(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
 
 
 class Reader:
-    """Reads one formatted conversation, piece by piece; keeps digests, no text beyond the piece."""
+    """Reads one formatted conversation as a stream of characters, however it is cut, and finds the marks itself.
+
+    The loss mask comes as ranges of characters of the whole text. Only the text between two marks is held.
+    """
 
     def __init__(self, codec: Codec):
         self.codec = codec
+        self.closing = {turn.after: role for role, turn in codec.template.roles.items()}
+        self.reach = max(map(len, codec.template.marks()))
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
-        self.state, self.role = "out", ""
-        self.trained_text: list[str] = []
-
-    def feed(self, text: str, loss: bool) -> None:
-        """A segment: a mark, or what stands between two marks."""
+        self.state, self.role = "start", ""
+        #: What is not read yet, where it starts in the conversation, and how far it holds no mark.
+        self.held, self.at, self.searched = "", 0, 0
+        self.ranges: list[tuple[int, int]] = []
+
+    def mask(self, start: int, end: int) -> None:
+        """The loss mask covers the characters from ``start`` to ``end``; told in order, before they are read."""
+        if start < end:
+            self.ranges.append((start, end))
+
+    def feed(self, text: str) -> None:
+        self.held += text
         self.chars += len(text)
-        template = self.codec.template
-        name, says, end = template.other
-        if loss:
-            plain = self.codec.unescape(text)
+        while m := self.codec.control.search(self.held, self.searched):
+            self._read(self.held[: m.start()], m.group())
+            self._learn(m.end())
+            self.held, self.at, self.searched = self.held[m.end() :], self.at + m.end(), 0
+        self.searched = max(0, len(self.held) - self.reach + 1)
+
+    def finish(self) -> None:
+        if self.held or self.state not in ("start", "out"):
+            raise ValueError(f"the text ends in the state {self.state!r}: {self.held[:40]!r}")
+
+    def _learn(self, size: int) -> None:
+        """Digest what the mask covers in the next ``size`` characters."""
+        while self.ranges and self.ranges[0][0] < self.at + size:
+            start, end = self.ranges.pop(0)
+            if end > self.at + size:
+                raise ValueError("the loss mask covers a mark")
+            plain = self.codec.unescape(self.held[start - self.at : end - self.at])
             self.loss_chars += len(plain)
             self.loss.update(plain.encode())
-        if self.state == "out":
-            if text in self.codec.by_mark:
-                self.role, self.state = self.codec.by_mark[text], "text"
-            elif text == name:
+
+    def _read(self, between: str, mark: str) -> None:
+        template = self.codec.template
+        name, says, end = template.other
+        if self.state in ("start", "out"):
+            if between:
+                raise ValueError(f"text outside a turn: {between[:40]!r}")
+            if mark == template.begin and self.state == "start":
+                self.state = "out"
+            elif mark in self.codec.by_mark:
+                self.role, self.state = self.codec.by_mark[mark], "text"
+            elif mark == name:
                 self.state = "name"
-            elif text != template.begin:
-                raise ValueError(f"a mark was to come: {text[:40]!r}")
-        elif self.state == "name":
-            self.role, self.state = self.codec.unescape(text), "says"
-        elif self.state == "says":
-            self.state = "text"
-        elif self.state == "text":
-            self.turns.update(f"{self.role}\n{self.codec.unescape(text)}\n".encode())
+            else:
+                raise ValueError(f"{mark!r} opens no turn")
+        elif self.state == "name" and mark == says:
+            self.role, self.state = self.codec.unescape(between), "other"
+        elif (self.state == "text" and self.closing.get(mark) == self.role) or (self.state == "other" and mark == end):
+            self.turns.update(f"{self.role}\n{self.codec.unescape(between)}\n".encode())
             self.n_turns += 1
-            self.state = "end"
-        else:
             self.state = "out"
-
-
-def split_marks(codec: Codec, text: str) -> list[str]:
-    """Formatted text cut at its marks: the marks and what stands between them, empty texts included."""
-    out, at, state = [], 0, "out"
-    template = codec.template
-    for m in codec.control.finditer(text):
-        between, mark = text[at : m.start()], m.group()
-        if state == "in":
-            out.append(between)
-        elif between:
-            raise ValueError("text outside a turn")
-        out.append(mark)
-        opens = mark in codec.by_mark or mark in template.other[:2]
-        state = "in" if opens else "out"
-        at = m.end()
-    if text[at:]:
-        raise ValueError("text after the last mark")
-    return out
+        else:
+            raise ValueError(f"{mark!r} closes no {self.state}")
 
 
 def _digests(codec: Codec):
@@ -208,6 +221,7 @@ def _digests(codec: Codec):
         rows: list[tuple] = []
 
         def end() -> None:
+            reader.finish()
             rows.append((now, reader.n_turns, reader.turns.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars, valid))
 
         for batch in batches:
@@ -217,7 +231,10 @@ def _digests(codec: Codec):
                     if reader is not None:
                         end()
                     reader, now = Reader(codec), conv
-                reader.feed(text.as_py(), loss.as_py())
+                text = text.as_py()
+                if loss.as_py():
+                    reader.mask(reader.chars, reader.chars + len(text))
+                reader.feed(text)
                 valid = ok.as_py()
             if len(rows) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -231,7 +248,9 @@ def _digests(codec: Codec):
 
 
 def read_back(segments: DataFrame, template: Template = DEFAULT) -> DataFrame:
-    """Per conversation, from its segments alone: turns and loss texts as digests, sizes, and whether all steps were allowed."""
+    """Per conversation, parsed from its formatted text: turns and loss texts as digests, sizes, and whether all steps were allowed.
+
+    Segments come in their order and are read as one text; only their loss flags are kept, as ranges of it."""
     rows = segments.select("conv_id", "seq", "text", "loss", "valid")
     rows = rows.repartition(parts_for(segments), "conv_id").sortWithinPartitions("conv_id", "seq").drop("seq")
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean"
