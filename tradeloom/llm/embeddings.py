@@ -1,16 +1,20 @@
-"""Embedding near-duplicates by random hyperplane groups.
+"""Embedding near-duplicates by sorted projection passes.
 
-Equal vectors of a label are one point with a number of copies. In each pass every point gets a key
-of random hyperplane bits, other ones in every pass, and all points of a label with the same key are
-compared with each other. Pairs that reach the cosine are links; the links of all passes are united
-into components.
+Equal vectors of a label are one point with a number of copies. In each pass every point gets a key,
+the signs of its projections on ``KEY_BITS`` random directions in a row, other ones in every pass.
+Points of a label are ordered by their keys, and each is compared with the ``window`` that follow it.
+Pairs that reach the cosine are links; the links of all passes are united into components.
 
-The number of bits follows from the number of points, so that a key holds about ``window`` of them
-where vectors are spread evenly. Two points at the cosine agree in all bits with a known chance,
-whatever lies around them, and passes are added until the chance that they never do is below
-``MISS``. Where points stand close together a key holds many more: keys are counted first, and one
-of more than ``block`` points is cut into chunks by a hash, every pair of chunks being a task of its
-own. Only spanning forests leave a task.
+Two points at the cosine agree in the leading bits of their keys with a known chance. So many
+bits are looked at that about ``window`` evenly spread points agree in them, and passes are added
+until the chance that a pair never does is below ``MISS``. Points that agree in them lie in one stretch
+of the order. A stretch no longer than a window is covered by the windows of its points. Where points
+stand close together a stretch is longer: one of up to ``block`` points is compared as a whole, and
+one beyond that, counted first, is cut into chunks by a hash, every pair of chunks being a task
+of its own. So what lies around a pair never hides it. Only spanning forests leave a task.
+
+The order is dealt to tasks in parts of the key's range that hold a few whole stretches, so that a part
+is no longer than a few blocks, and the result does not depend on the number of partitions.
 
 Then the links are counted: within each component every point is compared with every other, in
 blocks of at most twice ``BLOCK`` points that are tasks of their own. Only counts and labels of
@@ -41,6 +45,8 @@ WINDOW = 24
 MISS = 1e-4
 BLOCK = 1024
 SEED = 42
+#: Bits of a key, and by how many a part of the order has fewer than a stretch.
+KEY_BITS, PART_BITS = 63, 3
 
 
 def bits_for(points: int, window: int = WINDOW) -> int:
@@ -91,38 +97,60 @@ def _spanning(linked: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(reached)
 
 
-def _links(cosine: float):
-    """Reads (pass, label, size, key, i, j, own, id, unit) sorted in this order; compares each block and emits the task's links as a forest."""
+def _links(cosine: float, window: int, bits: int):
+    """Reads (pass, label, size, part, i, j, key, own, id, unit) sorted in this order; emits the task's links as a forest.
+
+    A part of the order has i = -1: its points are compared in windows, long stretches as a whole. Others are pairs of chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
         n_links = 0
 
-        def settle(table: pa.Table, last: bool) -> pa.Table:
+        def spanned(linked: np.ndarray, ids: np.ndarray) -> None:
             nonlocal n_links
+            for members in _spanning(linked):
+                left.append(np.full(len(members) - 1, ids[members[0]]))
+                right.append(ids[members[1:]])
+                n_links += len(members) - 1
+
+        def whole(x: np.ndarray, ids: np.ndarray) -> None:
+            linked = x @ x.T >= cosine
+            np.fill_diagonal(linked, False)
+            spanned(linked, ids)
+
+        def ordered(x: np.ndarray, key: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal n_links
+            for step in range(1, min(window, len(x) - 1) + 1):
+                near = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
+                left.append(ids[near])
+                right.append(ids[near + step])
+                n_links += len(near)
+            starts, ends = runs((key >> (KEY_BITS - bits))[:, None])
+            for s, e in zip(starts[ends - starts > window + 1].tolist(), ends[ends - starts > window + 1].tolist()):
+                whole(x[s:e], ids[s:e])
+
+        def settle(table: pa.Table, last: bool) -> pa.Table:
             table = table.combine_chunks()
             keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(6)], axis=1)
-            own, ids = table.column(6).to_numpy(), table.column(7).to_numpy()
-            values, at = table.column(8).chunk(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys[:, 2])])
+            key, own, ids = (table.column(k).to_numpy() for k in (6, 7, 8))
+            values, at = table.column(9).chunk(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(keys[:, 2])])
             starts, ends = runs(keys)
             several = np.flatnonzero(ends - starts > 1)
             for s, e in zip(starts[several].tolist(), ends[several].tolist()):
                 if e == len(keys) and not last:
                     continue
                 x, i, j = values[at[s] : at[e]].reshape(e - s, -1), keys[s, 4], keys[s, 5]
-                if i == j:
-                    linked = x @ x.T >= cosine
-                    np.fill_diagonal(linked, False)
+                if i < 0:
+                    ordered(x, key[s:e], ids[s:e])
+                elif i == j:
+                    whole(x, ids[s:e])
                 else:
-                    n = int((own[s:e] == i).sum())
+                    first, other = np.flatnonzero(own[s:e] == i), np.flatnonzero(own[s:e] == j)
                     linked = np.zeros((e - s, e - s), bool)
-                    linked[:n, n:] = x[:n] @ x[n:].T >= cosine
-                    linked[n:, :n] = linked[:n, n:].T
-                for members in _spanning(linked):
-                    left.append(np.full(len(members) - 1, ids[s + members[0]]))
-                    right.append(ids[s + members[1:]])
-                    n_links += len(members) - 1
+                    linked[np.ix_(first, other)] = x[first] @ x[other].T >= cosine
+                    spanned(linked | linked.T, ids[s:e])
             return table.slice(int(starts[-1]))
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
@@ -199,18 +227,23 @@ def near_duplicates(
     points = materialize(points.withColumn("id", F.monotonically_increasing_id()), "vector-points")
     n = points.count()
     bits, n_passes = bits_for(n, window), passes_for(n, cosine, window)
-    schema, group = "pass int, label bigint, size int, key bigint, id bigint", ["pass", "label", "size", "key"]
-    bare = points.select("id", "label", "v")
-    counts = bare.mapInArrow(_keys(n_passes, bits, seed, False), schema).groupBy(*group).count().filter(F.col("count") > block)
-    hot = materialize(counts.select(*group, F.ceil(F.col("count") / block).cast("int").alias("chunks")), "vector-hot")
+    schema, group = "pass int, label bigint, size int, key bigint, id bigint", ["pass", "label", "size", "stretch"]
+    bare, stretch = points.select("id", "label", "v"), F.shiftright("key", KEY_BITS - bits)
+    counts = bare.mapInArrow(_keys(n_passes, KEY_BITS, seed, False), schema).groupBy(*group[:3], stretch.alias("stretch")).count()
+    hot = counts.filter(F.col("count") > block).select(*group, F.ceil(F.col("count") / block).cast("int").alias("chunks"))
+    hot = materialize(hot, "vector-hot")
     schema += ", unit array<double>"
-    keyed = bare.mapInArrow(_keys(n_passes, bits, seed), schema).join(hot, group, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = [*group, "i", "j"]
-    dealt = keyed.select(*group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "unit")
-    dealt = dealt.repartition(n_parts, *pairs).sortWithinPartitions(*pairs, "own")
-    roots = components(dealt.mapInArrow(_links(cosine), "u bigint, v bigint"), "vectors")
+    keyed = bare.mapInArrow(_keys(n_passes, KEY_BITS, seed), schema).withColumn("stretch", stretch).join(hot, group, "left")
+    long, none = F.col("chunks").isNotNull(), F.lit(-1)
+    keyed = keyed.withColumn("own", F.when(long, F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).otherwise(none))
+    others = F.when(long, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(none))
+    keyed = keyed.withColumn("other", F.explode(others))
+    part = F.when(long, F.col("stretch")).otherwise(F.shiftright("key", KEY_BITS - max(0, bits - PART_BITS))).alias("part")
+    ends = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    dealt = keyed.select(*group[:3], part, *ends, "key", "own", "id", "unit")
+    pairs = ["pass", "label", "size", "part", "i", "j"]
+    dealt = dealt.repartition(n_parts, *pairs).sortWithinPartitions(*pairs, "key", "id")
+    roots = components(dealt.mapInArrow(_links(cosine, window, bits), "u bigint, v bigint"), "vectors")
     roots = materialize(roots.select(F.col("node").alias("id"), "root"), "vector-roots")
     members = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
     sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
