@@ -1,13 +1,17 @@
 """Aggregates, shares, rankings and set operations."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions import dates
-from tradeloom.operators import dealers, ranking, views
+from tradeloom.operators import dealers, ranking, rollups, views
 from tradeloom.plans.base_sql import AS_OF
 from tradeloom.plans.registry import cte, query
+from tradeloom.sources import layout
 from tradeloom.sources.star import CALENDAR, FACT_COLUMNS, THRESHOLDS, StarTables
+from tradeloom.storage import materialize, work_folder
 
 SUMS = "CAST(sum(quantity) AS DOUBLE) AS total_qty, CAST(sum(line_total) AS DOUBLE) AS total_revenue"
 
@@ -195,6 +199,77 @@ def _(t):
     return views.null_profile(t.fact())
 
 
+@query(
+    "order_rollup_incremental",
+    """SELECT o.order_id, CAST(coalesce(sum(line_total), 0) AS DOUBLE) AS total_amount,
+    CAST(coalesce(sum(quantity), 0) AS BIGINT) AS total_quantity, count(l.order_id) AS line_count
+    FROM sales_order o LEFT JOIN (SELECT * FROM order_line WHERE line_id <> 6) l ON l.order_id = o.order_id GROUP BY 1""",
+)
+def _(t):
+    """Totals kept up through inserts, deletes and updates of lines."""
+    path = f"{work_folder(t.spark)}/order_totals-{uuid.uuid4().hex}"
+    lines, number = t.lines(), F.col("line_id")
+    wrong = F.when(number == 2, F.col("quantity") + 1).otherwise(F.col("quantity")).cast("decimal(10,2)")
+    rollups.start_order_totals(lines.where(number != 3).withColumn("quantity", wrong), path)
+    late = lines.where(number == 3).withColumn("sign", F.lit(1))
+    rollups.change_order_totals(late, path)
+    old = lines.where(number == 2).withColumn("quantity", wrong).withColumn("sign", F.lit(-1))
+    new = lines.where(number == 2).withColumn("sign", F.lit(1))
+    gone = lines.where(number == 6).withColumn("sign", F.lit(-1))
+    rollups.change_order_totals(old.unionByName(new).unionByName(gone), path)
+    return rollups.order_totals(t.spark, t.orders(), path)
+
+
+GRAINS = {"week": ["fiscal_year", "week_of_year"], "month": ["fiscal_year", "fiscal_quarter", "fiscal_month"],
+          "quarter": ["fiscal_year", "fiscal_quarter"], "year": ["fiscal_year"]}
+
+
+@query(
+    "distinct_sets_by_grain",
+    " UNION ALL ".join(
+        f"SELECT '{grain}' AS grain, " + ", ".join(k if k in own else f"CAST(NULL AS INTEGER) AS {k}" for k in ("fiscal_year", "fiscal_quarter", "fiscal_month", "week_of_year"))
+        + f", CAST(count(DISTINCT customer_code) AS BIGINT) AS n_dealers FROM fact GROUP BY {', '.join(own)}"
+        for grain, own in GRAINS.items()
+    ),
+)
+def _(t):
+    """Dealers by week, month, quarter and year from one table of sets."""
+    keys = ["fiscal_year", "fiscal_quarter", "fiscal_month", "week_of_year"]
+    fact = t.fact(*keys, "customer_code")
+    sets = materialize(rollups.distinct_sets(fact, keys, "customer_code", rollups.dictionary(t.customer(), "customer_code")), "dealer-sets")
+    return rollups.sizes_by_grain(sets, GRAINS, keys, "n_dealers")
+
+
+def fact_by_order(t):
+    """The lines laid out by order."""
+    lines = t.fact("order_id", "line_id", "product_code", "quantity", "line_total")
+    return t.once("fact_by_order", lambda: layout.read_buckets(t.spark, layout.write_buckets(lines, "order_id", BUCKETS, "fact_by_order")))
+
+
+def orders_by_order(t):
+    orders = t.orders().select("order_id", "order_date", "customer_code")
+    return t.once("orders_by_order", lambda: layout.read_buckets(t.spark, layout.write_buckets(orders, "order_id", BUCKETS, "orders_by_order")))
+
+
+#: Buckets of the tables laid out by order; on a cluster about the size of the table over that of a task's share.
+BUCKETS = 16
+
+
+@query(
+    "order_mix",
+    """SELECT o.order_id, o.order_date, o.customer_code, count(*) AS n_lines, count(DISTINCT f.product_code) AS n_skus,
+    CAST(sum(f.line_total) AS DOUBLE) AS revenue, CAST(max(f.line_total) AS DOUBLE) AS largest_line
+    FROM sales_order o JOIN fact f ON f.order_id = o.order_id GROUP BY 1, 2, 3""",
+)
+def _(t):
+    """What an order holds, from tables laid out by order: neither the join nor the groups move rows."""
+    joined = fact_by_order(t).join(orders_by_order(t).hint("merge"), "order_id")  # bucket by bucket, also where one side is small
+    return joined.groupBy("order_id", "order_date", "customer_code").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("product_code").alias("n_skus"),
+        F.sum("line_total").cast("double").alias("revenue"), F.max("line_total").cast("double").alias("largest_line"),
+    )
+
+
 @query("value_counts", "SELECT color, count(*) AS n FROM fact GROUP BY 1")
 def _(t):
     return views.value_counts(t.fact("color"), "color")
