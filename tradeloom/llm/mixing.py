@@ -31,7 +31,7 @@ from tradeloom.storage import materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Words that the dynamic programme covers; above it, one document of a length is taken at a time.
+#: Words of a source's budget that the dynamic programme fits; those before are shared out among the lengths in proportion.
 REACH = 50_000
 #: Documents of one length that may be ranked in one task.
 RANGE = 4096
@@ -83,19 +83,22 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 def fit(lengths: list[int], counts: list[int], budget: int, whole: int, reach: int = REACH) -> list[int]:
     """How many documents of each length to take so that their words come to ``budget``.
 
-    ``whole`` is all words of these documents. Never more than ``counts``; the sum never exceeds the
-    budget.
+    ``whole`` is all words of these documents. Every length gives its share, rounded down; the rest is met exactly, or as
+    nearly as the remaining documents allow. Of a rest beyond ``reach`` words, what lies before goes to the lengths that
+    rounding cost most, one document each, so that the lengths stay in proportion whatever the size of a source.
+    Never more than ``counts``; the sum never exceeds the budget.
     """
     budget = max(0, min(budget, whole))
     take = [c * budget // whole if whole else 0 for c in counts]
     left = budget - sum(t * n for t, n in zip(take, lengths))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:  # from the longest, while the rest is out of reach
+    spread = sorted(order, key=lambda i: (-(counts[i] * budget % whole), lengths[i] * 0x9E3779B1 % (1 << 32))) if left > reach else []
+    for i in spread:  # equal losses in an order that favours neither short nor long ones
         if left <= reach:
             break
-        more = min(counts[i] - take[i], (left - reach + lengths[i] - 1) // lengths[i], left // lengths[i])
-        take[i] += more
-        left -= more * lengths[i]
+        if take[i] < counts[i] and lengths[i] <= left:
+            take[i] += 1
+            left -= lengths[i]
     items: list[tuple[int, int]] = []  # (length index, documents at once): binary parts of each count
     for i in order:
         free, part = min(counts[i] - take[i], left // lengths[i]), 1
