@@ -7,7 +7,7 @@ in clean training texts, weighed by the lower bound of their log-odds. Learning
 *Transducers.* A text is cut into clauses. Each clause runs through small transducers that are
 composed, each rewriting the token classes that the one before it puts out: ``negation`` marks an
 insult that follows a negation within a few tokens, ``report`` marks what stands after a verb of
-speech or inside quotes, ``target`` marks an insult that has a person near it, ``threat`` joins a verb
+speech or inside quotes (which stay open from clause to clause, up to the end of the line), ``target`` marks an insult that has a person near it, ``threat`` joins a verb
 of harm with a person after it. What comes out of the last one is the clause's weights by kind:
 plain, targeted, negated, reported, threat. Words alone score nothing outside a matched clause.
 
@@ -49,12 +49,18 @@ TARGETS = set(
     "you your yours yourself he him she her they them these those people everyone du dich dir ihr euch dein sie ihn "
     "tu te toi vous ils elles eux tú usted ustedes vosotros ellos ellas".split()
 )
-NEGATIONS = set("not no never nobody isn aren wasn don nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split())
+NEGATIONS = set("not no never nobody nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split())
 REPORTS = set("said says say called calls quoted wrote claimed sagte sagt nannte dit disait appelle dijo dice llamó".split())
 THREATS = set("kill hurt destroy beat punish töten umbringen verletzen tuer frapper blesser matar golpear destruir".split())
 
-CLAUSE = re.compile(r"[.!?;:|\n]+")
-TOKEN = re.compile(r"[^\W\d_]+|[\"“”«»]")
+#: A verb of speech after one of these reports nobody's words.
+INFINITIVES = set("to zu à de".split())
+OPENING, CLOSING = "“«", "”»"
+
+CLAUSE = re.compile(r"[.!?;:|]+")
+#: Words, contracted negations (n't) as one, and quotes.
+TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”«»]")
+CONTRACTED = re.compile(r"n['’]t$")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 REACH = 3
 
@@ -91,22 +97,27 @@ class Grammar:
             starts = [token] + [token[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(token)) + 1)]
             weight = max((self.stems.get(s, 0.0) for s in starts), default=0.0)
             kind = (
-                "insult" if weight > 0 else "target" if token in TARGETS else "negation" if token in NEGATIONS
-                else "report" if token in REPORTS else "harm" if token in THREATS else "quote" if token in '"“”«»' else "other"
+                "insult" if weight > 0 else "target" if token in TARGETS else "negation" if token in NEGATIONS or CONTRACTED.search(token)
+                else "report" if token in REPORTS else "harm" if token in THREATS else "infinitive" if token in INFINITIVES
+                else "quote" if token == '"' else "open" if token in OPENING else "close" if token in CLOSING else "other"
             )
             if len(self.known) > 200_000:
                 self.known.clear()
             found = self.known[token] = (kind, weight)
         return found
 
-    def clause(self, text: str) -> list[tuple[str, float]]:
-        """The weights that the composed transducers put out for one clause."""
+    def clause(self, text: str, quoted: bool = False) -> tuple[list[tuple[str, float]], bool]:
+        """The weights that the composed transducers put out for one clause, and whether quotes are open behind it."""
         tape = [self.read(t) for t in TOKEN.findall(text)]
+        after = quoted
+        for kind, _ in tape:
+            after = quotes(after, kind)
         if not any(kind in ("insult", "harm") for kind, _ in tape):
-            return []
-        for transducer in (negation, report, target, threat):
+            return [], after
+        tape = report(negation(tape), quoted)
+        for transducer in (target, threat):
             tape = transducer(tape)
-        return [(kind, weight) for kind, weight in tape if kind in KINDS]
+        return [(kind, weight) for kind, weight in tape if kind in KINDS], after
 
     def totals(self, text: str) -> list[float]:
         """Weights by kind over all clauses of a text, and the number of clauses with any."""
@@ -114,14 +125,21 @@ class Grammar:
         sums = dict.fromkeys(KINDS, 0.0)
         matched = 0
         if next(self.find(f" {NOT_LETTERS.sub(' ', low)} "), None) is not None:
-            for part in CLAUSE.split(low):
-                found = self.clause(part)
-                matched += bool(found)
-                for kind, weight in found:
-                    sums[kind] += weight
+            for line in low.split("\n"):
+                quoted = False  # a quote that is never closed ends with its line
+                for part in CLAUSE.split(line):
+                    found, quoted = self.clause(part, quoted)
+                    matched += bool(found)
+                    for kind, weight in found:
+                        sums[kind] += weight
         return [sums[k] for k in KINDS] + [float(matched)]
 
 
+def quotes(quoted: bool, kind: str) -> bool:
+    """Whether quotes are open after a token."""
+    return not quoted if kind == "quote" else kind == "open" or (quoted and kind != "close")
+
+
 def negation(tape: list[tuple[str, float]]) -> list[tuple[str, float]]:
     """insult -> negated, while a negation is at most ``REACH`` tokens back."""
     state, out = 0, []
@@ -131,12 +149,12 @@ def negation(tape: list[tuple[str, float]]) -> list[tuple[str, float]]:
     return out
 
 
-def report(tape: list[tuple[str, float]]) -> list[tuple[str, float]]:
-    """insult -> reported, after a verb of speech or between quotes."""
-    spoken, quoted, out = False, False, []
+def report(tape: list[tuple[str, float]], quoted: bool = False) -> list[tuple[str, float]]:
+    """insult -> reported, after a verb of speech or between quotes, which may be open from the clause before."""
+    spoken, last, out = False, "", []
     for kind, weight in tape:
-        spoken = spoken or kind == "report"
-        quoted = quoted != (kind == "quote")
+        spoken = spoken or (kind == "report" and last != "infinitive")
+        quoted, last = quotes(quoted, kind), kind
         out.append(("reported" if kind == "insult" and (spoken or quoted) else kind, weight))
     return out
 
