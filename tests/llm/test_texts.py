@@ -152,11 +152,30 @@ def test_fit_meets_reachable_budgets():
         counts = [rng.randint(1, 5) for _ in lengths]
         whole = sum(a * b for a, b in zip(lengths, counts))
         budget = rng.randint(0, whole)
-        take = mixing.fit(lengths, counts, budget, whole, reach=50)
-        met = sum(a * b for a, b in zip(lengths, take))
-        assert all(0 <= t <= c for t, c in zip(take, counts)) and met <= budget
-        if lengths[0] == 1 and counts[0] >= 3:
-            assert budget - met < max(lengths)
+        for reach in (50, 10**6):
+            take = mixing.fit(lengths, counts, budget, whole, reach=reach)
+            met = sum(a * b for a, b in zip(lengths, take))
+            assert all(0 <= t <= c for t, c in zip(take, counts)) and met <= budget
+            if lengths[0] == 1 and counts[0] >= 3:
+                assert budget - met < max(lengths)
+        # after each length's share, the best sum of all choices of the rest
+        base = [c * budget // whole for c in counts]
+        sums = {sum(a * b for a, b in zip(lengths, base))}
+        for size, n in zip(lengths, [c - t for c, t in zip(counts, base)]):
+            sums = {x + size * k for x in sums for k in range(n + 1)}
+        assert met == max(x for x in sums if x <= budget)
+
+
+def test_long_rests_stay_in_proportion():
+    """A rest far beyond the reach of the programme favours no length and is met to the word."""
+    lengths = list(range(1, 4001))
+    counts = [3] * len(lengths)
+    whole = 3 * sum(lengths)
+    for budget in (whole // 2 + 7, whole // 3 + 1, whole * 9 // 10):
+        take = mixing.fit(lengths, counts, budget, whole, reach=500)
+        assert sum(a * b for a, b in zip(lengths, take)) == budget
+        short, long = sum(take[:2000]) / 6000, sum(take[2000:]) / 6000
+        assert abs(short - long) < 0.35 and max(take) - min(take) <= 2
 
 
 # Quality ---------------------------------------------------------------------------------------
@@ -180,6 +199,39 @@ def test_quality_shrinks_sparse_sites(spark):
     assert abs(got["h3"]["host_posterior"] - mean) < abs(got["h1"]["host_posterior"] - mean)
 
 
+def test_posteriors_match_brute_force(spark):
+    """Moments, strengths and shrunk means per host and per path within it, single and tied ones included."""
+    rng = random.Random(6)
+    rows = [(f"h{rng.randrange(5)}", f"p{rng.randrange(3)}", rng.choice([-3.0, -1.0, 0.0, 0.5, 2.0])) for _ in range(200)]
+    rows += [("one", "p0", 4.0), ("tie", "p0", -5.0), ("tie", "p0", 5.0)]
+    chance = lambda l: 1 / (1 + np.exp(-l))
+    p = [chance(l) for *_, l in rows]
+    table = spark.createDataFrame([(h, q, float(x)) for (h, q, _), x in zip(rows, p)], "host string, path string, p double")
+    sites = quality.site_table(table)
+    got = quality.posterior(spark.createDataFrame(rows, "host string, path string, l double"), sites).collect()
+    n, mean = len(rows), float(np.mean(p))
+    of = lambda *key: [x for r, x in zip(rows, p) if r[: len(key)] == key]
+    hosts, paths = {r[:1] for r in rows}, {r[:2] for r in rows}
+
+    def strength(squares, groups):
+        noise = mean * (1 - mean)
+        return min(max(noise / max((squares - noise * groups) / n, noise * 1e-4, 1e-9) - 1, 2.0), 1e4)
+
+    a = strength(sum(len(of(*k)) * (np.mean(of(*k)) - mean) ** 2 for k in hosts), len(hosts))
+    b = strength(sum(len(of(*k)) * (np.mean(of(*k)) - np.mean(of(k[0]))) ** 2 for k in paths), len(paths))
+    clip, logit = (lambda x: min(max(x, 1e-6), 1 - 1e-6)), (lambda x: np.log(x / (1 - x)))
+    want = []
+    for host, path, l in rows:  # each row is left out of its own sites
+        mine = chance(l)
+        of_host = clip((a * mean + sum(of(host)) - mine) / (a + len(of(host)) - 1))
+        of_path = clip((b * of_host + sum(of(host, path)) - mine) / (b + len(of(host, path)) - 1))
+        shift = np.clip(logit(of_path) - logit(clip(mean)), -quality.MOST_SHIFT, quality.MOST_SHIFT)
+        want.append((host, path, l, of_host, of_path, 1 - chance(l + shift)))
+    found = sorted((r["host"], r["path"], r["l"], r["host_posterior"], r["path_posterior"], r["score"]) for r in got)
+    for x, y in zip(found, sorted(want), strict=True):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:])
+
+
 def test_quality_of_odd_rows(spark, odd_docs, no_docs, labels):
     got = as_rows(quality.op3(spark, odd_docs, labels))
     assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in got)
@@ -201,9 +253,53 @@ def test_grammar_reads_clauses():
     assert kinds("I will kill you")["threat"] == 1.0
     assert kinds("I said so. Idiot")["plain"] == 2.0
     assert kinds("des vequtés")["plain"] == 3.0
+    assert kinds('He wrote "Go away. You idiot."')["reported"] == 2.0
+    assert kinds('"Go away. Run." The idiot came')["plain"] == 2.0
+    assert kinds("«Va. Quel idiot» dehors. Un idiot")["reported"] == 2.0 and kinds("«Va. Quel idiot» dehors. Un idiot")["plain"] == 2.0
+    assert kinds('an open " quote\nThe idiot came')["plain"] == 2.0
+    assert kinds("to say it, an idiot")["plain"] == 2.0
+    assert kinds("isn't he an idiot")["negated"] == 2.0 and kinds("he isn’t an idiot")["negated"] == 2.0
+    assert kinds("l'idiot")["plain"] == 2.0 and kinds("don't go there now, idiot")["plain"] == 2.0
     assert sum(grammar.totals("idiots and idioms, revequ, killing")) == 0
 
 
+def brute_totals(text, stems):
+    """The grammar stated once more, token by token and without transducers."""
+    sums = dict.fromkeys(toxicity.KINDS, 0.0)
+    for line in text.lower().split("\n"):
+        is_open = False
+        for clause in re.split(r"[.!?;:|]", line):
+            tokens = re.findall(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+|[\"“”«»]", clause)
+            inside = []
+            for t in tokens:
+                is_open = (not is_open) if t == '"' else True if t in "“«" else False if t in "”»" else is_open
+                inside.append(is_open)
+            spoken = [any(t in toxicity.REPORTS and (i == 0 or tokens[i - 1] not in toxicity.INFINITIVES) for i, t in enumerate(tokens[:k])) for k in range(len(tokens))]
+            denies = lambda t: t in toxicity.NEGATIONS or t.endswith(("n't", "n’t"))
+            for k, t in enumerate(tokens):
+                near = tokens[max(0, k - toxicity.REACH) : k]
+                if t in stems:
+                    if any(denies(x) for x in near):
+                        kind = "negated"
+                    elif spoken[k] or inside[k]:
+                        kind = "reported"
+                    else:
+                        kind = "targeted" if set(tokens[max(0, k - toxicity.REACH) : k + toxicity.REACH + 1]) & toxicity.TARGETS else "plain"
+                    sums[kind] += stems[t]
+                elif t in toxicity.THREATS and set(tokens[k + 1 : k + 1 + toxicity.REACH]) & toxicity.TARGETS:
+                    sums["threat"] += 1.0
+    return [sums[k] for k in toxicity.KINDS]
+
+
+def test_grammar_matches_brute_force():
+    rng, stems = random.Random(12), {"idiot": 2.0, "fool": 1.5}
+    grammar = toxicity.Grammar(stems)
+    words = ["idiot", "fool", "you", "he", "not", "isn't", "said", "say", "to", "kill", "tree", "house", '"', "“", "”", "«", "»", ".", "!", "\n", "lamp"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))
+        assert grammar.totals(text)[:-1] == pytest.approx(brute_totals(text, stems)), text
+
+
 def test_toxicity_on_held_out_rows(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/../sf0.1/documents.parquet"), spark.read.parquet(f"{folder}/../sf0.1/labels.parquet")
     rows = toxicity.op4(spark, docs, labels).join(labels, "doc_id").filter("held_out").collect()
