@@ -247,14 +247,13 @@ def test_metadata_names_the_mapping_source(spark):
     assert got == {"a": ("dimension_join", "Group", True), "b": ("original_null", "UNKNOWN", False), "c": ("join_failed", "UNKNOWN", False)}
 
 
-def test_nested_orders_split_large_ones_without_loss(spark):
-    rows = [("big", i, f"p{i}", 1) for i in range(100)] + [("small", 1, "p", 1), (None, 1, "p", 1)]
+@pytest.mark.parametrize("part_size", [30, 10_000])
+def test_nested_orders_are_one_row_each(spark, part_size):
+    rows = [("big", i, f"p{i}", 1) for i in range(100)] + [("small", 1, "p", 1), ("small", 1, "p", 1), (None, 1, "p", 1)]
     df = spark.createDataFrame(rows, "so_number string, line_id int, product_code string, quantity int").withColumn("customer", F.lit("c"))
-    out = documents.nest_orders(df, ["customer"], ["product_code", "quantity"], ["line_id"], part_size=30)
-    sizes = {}
-    for r in out.collect():
-        sizes.setdefault(r["so_number"], []).append(len(r["lines"]))
-    assert sum(sizes["big"]) == 100 and len(sizes["big"]) > 1 and sizes["small"] == [1] and None not in sizes
+    out = documents.nest_orders(df.repartition(5), ["customer"], ["product_code", "quantity"], ["line_id"], part_size=part_size).collect()
+    got = {r["so_number"]: [(x["line_id"], x["product_code"]) for x in r["lines"]] for r in out}
+    assert len(out) == 2 and got == {"big": [(i, f"p{i}") for i in range(100)], "small": [(1, "p"), (1, "p")]}
 
 
 def test_price_changes_match_a_plain_scan(spark):

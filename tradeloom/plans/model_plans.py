@@ -18,6 +18,7 @@ from tradeloom.plans.registry import query
 from tradeloom.sources.star import CALENDAR, StarTables
 
 MONTHLY = {n: f for n, f in params.FEATURE_SETS.items() if n.startswith("monthly")}
+KINDS = ("GBT", "OrderedGBT", "RandomForest", "DecisionTree")
 WEEKLY = {n: f for n, f in params.FEATURE_SETS.items() if n.startswith("weekly")}
 
 
@@ -56,7 +57,7 @@ def shared(t: StarTables, names: list[str], fit) -> dict:
         return {n: known[n] for n in names}
 
 
-def trained(t: StarTables, rows, sets, kinds=("GBT", "RandomForest", "DecisionTree")):
+def trained(t: StarTables, rows, sets, kinds=KINDS):
     train, validation = models.temporal_split(rows, CALENDAR)
     learners = {k: v for k, v in models.regressors().items() if k in kinds}
 
@@ -136,14 +137,17 @@ def _(t):
 
 @query(
     "forecast_future_contract",
-    """SELECT product_code, CAST(m AS INTEGER) AS fiscal_month, 'GBT_monthly_minimal_features' AS model, TRUE AS is_valid, asp_source
-    FROM asp, (VALUES (4), (5), (6)) v(m)""",
+    f"""SELECT product_code, CAST(m AS INTEGER) AS fiscal_month, model, asp_used, asp_source, 0 AS n_below_zero, TRUE AS is_priced
+    FROM asp, (VALUES (4), (5), (6)) v(m), (VALUES {", ".join(f"('{kind}_{name}')" for name in MONTHLY for kind in KINDS)}) x(model)""",
+    rounded="asp_used:4",
 )
 def _(t):
-    """One row for each SKU, future month and model, priced by the cascade and never below zero."""
-    valid = (F.col("predicted_quantity") >= 0) & F.col("predicted_quantity").isNotNull() & F.col("estimated_revenue").isNotNull()
-    rows = future_forecast(t).where(F.col("model") == "GBT_monthly_minimal_features")  # the one its SQL states
-    return rows.select("product_code", "fiscal_month", "model", valid.alias("is_valid"), "asp_source")
+    """Every SKU, future month and model once, priced by the cascade; the revenue is the quantity at that price."""
+    price = F.abs(F.col("estimated_revenue") - F.col("predicted_quantity") * F.col("asp_used")) <= 1e-6 * (1 + F.abs(F.col("estimated_revenue")))
+    below = F.when(F.col("predicted_quantity") >= 0, 0).otherwise(1)
+    return future_forecast(t).select(
+        "product_code", "fiscal_month", "model", "asp_used", "asp_source", below.alias("n_below_zero"), F.coalesce(price, F.lit(False)).alias("is_priced")
+    )
 
 
 @query("ml_vs_baseline")
@@ -162,17 +166,19 @@ def _(t):
 @query(
     "importance_contract",
     " UNION ALL ".join(
-        f"SELECT '{kind}_{name}' AS model, CAST({len(names)} AS BIGINT) AS n_features, TRUE AS adds_up"
+        f"SELECT '{kind}_{name}' AS model, CAST({len(names)} AS BIGINT) AS n_features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n_negative"
         for name, names in MONTHLY.items()
-        for kind in ("GBT", "DecisionTree")
+        for kind in KINDS
     ),
+    rounded="total",
 )
 def _(t):
-    """The importance of a model's features is not negative and adds up to 1."""
-    fitted, _ = trained(t, feature_table(t), MONTHLY, ("GBT", "DecisionTree"))
+    """The importance of every model's features is not negative and adds up to 1."""
+    fitted, _ = trained(t, feature_table(t), MONTHLY)
     importance = models.feature_importance(fitted, feature_table(t))
-    adds_up = (F.abs(F.sum("importance") - 1) < 1e-6) & (F.min("importance") >= 0)
-    return importance.groupBy("model").agg(F.count("*").alias("n_features"), adds_up.alias("adds_up"))
+    return importance.groupBy("model").agg(
+        F.count("*").alias("n_features"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("n_negative")
+    )
 
 
 def classified(t: StarTables, n: int):

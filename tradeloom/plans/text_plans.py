@@ -508,10 +508,8 @@ def nested(t: StarTables):
 )
 def _(t):
     total = F.aggregate("lines", F.lit(0).cast("decimal(38,2)"), lambda s, x: (s + x["line_total"]).cast("decimal(38,2)"))
-    return (
-        nested(t)
-        .groupBy("so_number", "order_date", "customer_code")
-        .agg(F.sum(F.size("lines")).alias("n_lines"), F.sum(total).cast("double").alias("total"))
+    return nested(t).select(
+        "so_number", "order_date", "customer_code", F.size("lines").cast("bigint").alias("n_lines"), total.cast("double").alias("total")
     )
 
 
@@ -521,7 +519,7 @@ def _(t):
     CAST(unit_price AS DOUBLE) AS unit_price, CAST(line_total AS DOUBLE) AS line_total FROM fact""",
 )
 def _(t):
-    flat = documents.flatten_orders(nested(t)).drop("part_no", "n_parts")
+    flat = documents.flatten_orders(nested(t))
     return flat.withColumns({c: F.col(c).cast("double") for c in ("quantity", "unit_price", "line_total")})
 
 

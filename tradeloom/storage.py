@@ -15,6 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_used: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    """Delete the application's tables when its driver ends, if the session is still there."""
+    try:
+        drop_tables(spark)
+    except Exception:  # the session is gone: the tables stay until the folder is cleaned
+        pass
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -24,6 +33,9 @@ def work_folder(spark: SparkSession) -> str:
     if shared and shared.startswith("file:") and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is a folder of one machine; name one that all executors can reach")
     if shared:
+        if spark.sparkContext.applicationId not in _used:
+            _used.add(spark.sparkContext.applicationId)
+            atexit.register(_drop_at_exit, spark)
         return f"{shared.rstrip('/')}/tradeloom/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
