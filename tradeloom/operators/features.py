@@ -124,6 +124,9 @@ def monthly_features(panel: DataFrame, metadata: DataFrame) -> DataFrame:
     return hierarchy_lags(monthly_lags(lifecycle(calendar_features(with_metadata(panel, metadata)))))
 
 
+LONGEST_WEEKLY_LAG = 4
+
+
 def weekly_lags(df: DataFrame, period: str = "period_week") -> DataFrame:
     return df.withColumns(
         {
@@ -198,16 +201,18 @@ def future_weekly_rows(
 ) -> DataFrame:
     """Every SKU for each week segment of the forecast quarter.
 
-    Lags come from week totals. A future week has the total 0, as a sum over missing values;
-    ``null_future`` leaves it unknown instead.
+    Lags come from week totals, and only from weeks that the longest lag of a future week can reach. A future week has
+    the total 0, as a sum over missing values; ``null_future`` leaves it unknown instead.
     """
     types = {
         "year_week": "string", "fiscal_year": "int", "fiscal_month": "int", "segment_start_date": "date",
         "segment_end_date": "date", "days_in_segment": "int", "period_week": "int", "block_id": "string",
         "is_partial_week": "int",
     }
-    future = explode_rows(static_columns(metadata), future_segments(cal), types)
-    history = panel.select(
+    segments = future_segments(cal)
+    future = explode_rows(static_columns(metadata), segments, types)
+    oldest = min(s["period_week"] for s in segments) - LONGEST_WEEKLY_LAG
+    history = panel.where(F.col("period_week") >= oldest).select(
         "product_code", "period_week", "total_quantity", "n_dealers", "median_unit_price", "implied_price"
     )
     blank = future.select("product_code", "period_week")
