@@ -801,3 +801,17 @@ def _(t):
 @query("input_manifest")
 def _(t):
     return manifest.input_manifest(t.spark, t.folder, "*.parquet")
+
+
+@query(
+    "input_manifest_by_nation",
+    """SELECT CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(line || chr(10), '' ORDER BY c_custkey)) AS sha256
+    FROM (SELECT c_nationkey, c_custkey, c_custkey || ',' || c_name AS line FROM customer) GROUP BY c_nationkey""",
+)
+def _(t):
+    """Customers written as one text file for each nation: their sizes and hashes follow from the rows."""
+    path = folder(t, "customer_texts")
+    rows = t.raw("customer").select("c_nationkey", "c_custkey", F.concat_ws(",", "c_custkey", "c_name").alias("line"))
+    rows = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.select("c_nationkey", "line").write.partitionBy("c_nationkey").text(path)
+    return manifest.input_manifest(t.spark, path, "*/part-*").select("n_bytes", "sha256")
