@@ -140,11 +140,10 @@ def test_pareto_keeps_ties_at_the_border(spark):
     assert (row["top_customers"], row["top_revenue"]) == (3, 200.0)
 
 
-@pytest.mark.parametrize("small, stretches", [(4096, 4096), (20, 4096), (20, 3), (0, 1)])
-def test_all_ways_give_the_same_quantiles(skewed, monkeypatch, small, stretches):
-    """Sorted groups, and groups that are narrowed in many or few stretches."""
-    monkeypatch.setattr(ranking, "SMALL", small)
-    monkeypatch.setattr(ranking, "STRETCHES", stretches)
+@pytest.mark.parametrize("stretches", [4096, 16, 1])
+def test_stretches_change_no_quantile(skewed, monkeypatch, stretches):
+    """Many values or few in a stretch, and all of them."""
+    monkeypatch.setattr(ranking, "PER_OCTAVE", stretches)
     rows, df = skewed
     probs = {f"p{i}": i / 10 for i in range(11)} | {"p999": 0.999}
     for keys in (["g"], []):
@@ -170,14 +169,21 @@ def test_tied_fractions_stay_what_they_are(spark):
     assert [row[p] for p in probs] == sorted(row[p] for p in probs)
 
 
-def test_quantiles_of_values_that_are_no_numbers(spark, monkeypatch):
+def test_quantiles_of_values_of_any_size(spark, monkeypatch):
     inf, nan = float("inf"), float("nan")
-    values = [-inf, -inf, -5.0, 0.0, 1e-300, 3.0, 3.0, 1e300, inf, nan, nan]
-    df = spark.createDataFrame([(v,) for v in values * 2], "v double")
-    probs = {f"p{i}": i / 21 for i in range(22)}
-    for small in (4096, 1):
-        monkeypatch.setattr(ranking, "SMALL", small)
+    values = [-inf, -inf, -1e308, -5.0, -5.0, -5e-324, 0.0, 0.0, 5e-324, 3.0, 3.0, 3.0000000000000004, 1.7e308, inf, inf, nan, nan]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    probs = {f"p{i}": i / 16 for i in range(17)}
+    for stretches in (4096, 1):
+        monkeypatch.setattr(ranking, "PER_OCTAVE", stretches)
         row = ranking.quantiles(df, [], "v", probs).first()
-        want = [v for v in values for _ in range(2)]
-        for p, w in zip(probs, want):
+        for p, w in zip(probs, values):
             assert row[p] == w or (math.isnan(row[p]) and math.isnan(w))
+
+
+def test_stretches_never_fall(spark):
+    rng = random.Random(1)
+    values = sorted({math.ldexp(rng.uniform(-1, 1), rng.randint(-1000, 1000)) for _ in range(3000)} | {1.0, math.nextafter(1, 2), math.nextafter(1, 0), 2.0**-1074, 0.1 + 0.2, 0.3})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    numbers = [r["s"] for r in df.select("v", ranking._stretch(F.col("v")).alias("s")).orderBy("v").collect()]
+    assert numbers == sorted(numbers) and len(set(numbers)) > 2500

@@ -61,102 +61,53 @@ def cumulate(counts: DataFrame, keys: list[str], value: str, weights: list[str],
     )
 
 
-#: Different values of a group that one task may sort.
-SMALL = 4096
-#: Stretches that the values of a larger group are counted in, and how often that is repeated for one stretch.
-STRETCHES, LEVELS = 4096, 2
-
-
-def _picked(keys: list[str], probs: dict[str, float], picks: DataFrame) -> DataFrame:
-    """One column for each quantile from rows (keys, __size, __lo<i>, __hi<i>)."""
-    out = []
-    for i, (name, p) in enumerate(probs.items()):
-        position = F.lit(float(p)) * (F.col("__size") - 1)
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (position - F.floor(position))).alias(name))
-    return picks.select(*keys, *out)
-
-
-def _places(p: float) -> tuple[Column, Column]:
-    position = F.lit(float(p)) * (F.col("__size") - 1)
-    return F.floor(position), F.ceil(position)
-
-
-def _sorted_quantiles(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles of small groups, each sorted by one task."""
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.col("__after")
-    placed = counts.withColumn("__after", F.sum("__n").over(upto))
-    picks = [
-        F.max(F.when((after - F.col("__n") <= at) & (at < after), F.col(value))).alias(f"__{side}{i}")
-        for i, p in enumerate(probs.values())
-        for side, at in zip(("lo", "hi"), _places(p))
-    ]
-    return _picked(keys, probs, placed.groupBy(*keys).agg(F.max("__size").alias("__size"), *picks))
+#: Stretches that values between a power of two and the next are counted in.
+PER_OCTAVE = 4096
+#: Lifts the logarithm of the smallest double above zero; one beyond the largest stretch there is.
+LIFT, BEYOND = 1100, 1 << 40
 
 
 def _stretch(v: Column) -> Column:
-    """Number of the stretch of [__low, __high] that a value is in; the ends are stretches of their own."""
-    low, high = F.col("__low"), F.col("__high")
-    part = F.floor(F.nanvl((v - low) / (high - low), F.lit(0.0)) * STRETCHES)
-    return F.when(v == low, -1).when(v == high, STRETCHES).otherwise(F.least(F.greatest(part, F.lit(0)), F.lit(STRETCHES - 1))).cast("int")
-
-
-def _narrowed_quantiles(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float], only: bool) -> DataFrame:
-    """Quantiles of large groups by narrowing brackets around the places asked for.
-
-    The values of a group are counted in equal stretches of their range. The one that holds a place becomes its bracket, as
-    wide as the values in it; it is cut again, and only what is left inside is ranked. Every step is a grouped count,
-    and depends on the values alone, so a task that is repeated gives the same bracket. ``only`` says that there is one group,
-    whose brackets, two for each quantile, go to all tasks.
-    """
-    v, each = F.col(value), F.broadcast if only else (lambda df: df)
-    ends = counts.groupBy(*keys).agg(F.max("__size").alias("__size"), F.min(value).alias("__low"), F.max(value).alias("__high"))
-    places = [F.struct(F.lit(2 * i + side).alias("t"), at.alias("at")) for i, p in enumerate(probs.values()) for side, at in enumerate(_places(p))]
-    targets = ends.select(*keys, F.explode(F.array(*places)).alias("__p")).select(*keys, F.col("__p.t").alias("__t"), F.col("__p.at").alias("__at"))
-    sums = [F.sum("__n").alias("__n"), F.min(value).alias("__low"), F.max(value).alias("__high")]
-    inside = F.col("__at").between(F.col("__below"), F.col("__below") + F.col("__n") - 1)
-    found = ["__t", "__at", "__below", "__low", "__high"]
-
-    first = join_null_safe(counts, each(ends.drop("__size")), keys).groupBy(*keys, _stretch(v).alias("__stretch")).agg(*sums)
-    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.withColumn("__below", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    brackets = join_null_safe(first, each(targets), keys).where(inside).select(*keys, *found)
-    for _ in range(LEVELS - 1):
-        near = join_null_safe(counts, each(brackets), keys).where(v.between(F.col("__low"), F.col("__high")))
-        cut = near.groupBy(*keys, "__t", "__at", F.col("__below").alias("__start"), _stretch(v).alias("__stretch")).agg(*sums)
-        earlier = Window.partitionBy(*keys, "__t").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-        cut = cut.withColumn("__below", F.col("__start") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        brackets = cut.where(inside).select(*keys, *found)
-    near = join_null_safe(counts, each(brackets), keys).where(v.between(F.col("__low"), F.col("__high")))
-    ranked = cumulate(near, [*keys, "__t"], value, ["__n"])
-    before = F.col("__below") + F.col("before___n")
-    hit = ranked.where((before <= F.col("__at")) & (F.col("__at") < before + F.col("__n")))
-    picks = [F.max(F.when(F.col("__t") == 2 * i + side, v)).alias(f"__{name}{i}") for i in range(len(probs)) for side, name in enumerate(("lo", "hi"))]
-    return _picked(keys, probs, hit.groupBy(*keys).agg(F.max("__size").alias("__size"), *picks))
+    """Number of a value's stretch, which never falls as the value grows; it depends on the value alone."""
+    number = F.floor((F.log2(F.abs(v)) + LIFT) * PER_OCTAVE) + 1
+    finite = F.when(v > 0, number).when(v < 0, -number).otherwise(F.lit(0))
+    return F.when(F.isnan(v), BEYOND + 1).when(v == float("inf"), BEYOND).when(v == float("-inf"), -BEYOND).otherwise(finite).cast("bigint")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles, one column per entry of ``probs``; NULL values do not count.
 
-    Equal values are counted first, which is the one shuffle of all rows. A group of up to ``SMALL`` different values is sorted
-    by a task; of a larger one only the values around the places asked for are ranked. NaN is the largest value.
+    Equal values are counted first, which is the one shuffle of all rows. The counts are added up in stretches of fixed
+    borders, a grouped sum that Spark combines before the shuffle; running sums over a group's stretches, bounded in
+    number whatever the size of the group, tell which of them hold the places asked for. Only values in these are
+    sorted, each stretch by itself. NaN is the largest value.
     """
     one = keys or ["__all"]
     rows = df.where(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
     if not keys:
         rows = rows.withColumn("__all", F.pmod(F.xxhash64(value), F.lit(1)))  # always 0, which the optimizer does not see
-    counts = rows.groupBy(*one, value).agg(F.count(F.lit(1)).alias("__n"))
-    sizes = counts.groupBy(*one).agg(F.sum("__n").alias("__size"), F.count(F.lit(1)).alias("__different"))
-    if keys:
-        sized = join_null_safe(counts, sizes, one)
-    else:
-        whole = sizes.select(F.struct("__size", "__different").alias("s")).scalar()
-        sized = counts.withColumn("__size", whole.getField("__size")).withColumn("__different", whole.getField("__different"))
-    small = _sorted_quantiles(sized.where(F.col("__different") <= SMALL), one, value, probs)
-    big = _narrowed_quantiles(sized.where(F.col("__different") > SMALL), one, value, probs, not keys)
-    out = small.unionByName(big)
-    return out if keys else out.drop("__all")
+    v = F.col(value)
+    counts = rows.groupBy(*one, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__stretch", _stretch(v))
+    group = Window.partitionBy(*one)
+    earlier = group.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*one, "__stretch").agg(F.sum("__n").alias("__here"))
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__here").over(earlier), F.lit(0)), "__size": F.sum("__here").over(group)})
+
+    positions = [F.lit(float(p)) * (F.col("__size") - 1) for p in probs.values()]
+    places = [at for position in positions for at in (F.floor(position), F.ceil(position))]
+    first, last = F.col("__before"), F.col("__before") + F.col("__here") - 1
+    asked = sums.where(F.exists(F.array(*places), lambda at: at.between(first, last))).drop("__here")
+    near = join_null_safe(counts, asked, [*one, "__stretch"])
+    upto = Window.partitionBy(*one, "__stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.col("__after")
+    near = near.withColumn("__after", F.col("__before") + F.sum("__n").over(upto))
+    picks = [F.max(F.when((after - F.col("__n") <= at) & (at < after), v)).alias(f"__p{k}") for k, at in enumerate(places)]
+    chosen = near.groupBy(*one).agg(F.max("__size").alias("__size"), *picks)
+    out = []
+    for i, (name, position) in enumerate(zip(probs, positions)):
+        lo, hi = F.col(f"__p{2 * i}"), F.col(f"__p{2 * i + 1}")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (position - F.floor(position))).alias(name))
+    return chosen.select(*keys, *out)
 
 
 def average_rank_pct(df: DataFrame, value: str, name: str) -> DataFrame:
