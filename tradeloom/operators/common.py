@@ -30,3 +30,7 @@ def explode_rows(df: DataFrame, rows: list[dict], types: dict[str, str]) -> Data
         F.struct(*[F.lit(row[name]).cast(kind).alias(name) for name, kind in types.items()]) for row in rows
     ]
     return df.withColumn("__entry", F.explode(F.array(*entries))).select(*df.columns, "__entry.*")
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

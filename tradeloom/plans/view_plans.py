@@ -243,16 +243,12 @@ def _(t):
 def fact_by_order(t):
     """The lines laid out by order."""
     lines = t.fact("order_id", "line_id", "product_code", "quantity", "line_total")
-    return t.once("fact_by_order", lambda: layout.read_buckets(t.spark, layout.write_buckets(lines, "order_id", BUCKETS, "fact_by_order")))
+    return t.once("fact_by_order", lambda: layout.laid_out(lines, "order_id", "fact_by_order"))
 
 
 def orders_by_order(t):
     orders = t.orders().select("order_id", "order_date", "customer_code")
-    return t.once("orders_by_order", lambda: layout.read_buckets(t.spark, layout.write_buckets(orders, "order_id", BUCKETS, "orders_by_order")))
-
-
-#: Buckets of the tables laid out by order; on a cluster about the size of the table over that of a task's share.
-BUCKETS = 16
+    return t.once("orders_by_order", lambda: layout.laid_out(orders, "order_id", "orders_by_order"))
 
 
 @query(

@@ -1,31 +1,18 @@
 """Tables laid out by a key, so that joins and groups on it move no rows.
 
-A table is written in buckets of its key, one file for each, sorted inside. Two tables with the same number of
-buckets join on it bucket by bucket, and grouping by it, or by it and more, needs no shuffle either.
+A table is written in buckets of its key, sorted inside. Two tables with the same number of buckets join on it
+bucket by bucket, and grouping by it, or by it and more, needs no shuffle either.
 """
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tradeloom.operators.common import shuffle_partitions
+from tradeloom.storage import write_buckets
 
-from tradeloom.storage import work_folder
 
-
-def write_buckets(df: DataFrame, key: str, buckets: int, label: str = "table") -> str:
-    """Write ``df`` by buckets of ``key``; gives the name to read it by."""
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
-    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{work_folder(spark)}/{name}").saveAsTable(name)
-    return name
-
-
-def drop_buckets(spark: SparkSession, name: str) -> None:
-    """Forget the table; its files lie in the shared folder and go with it."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
-def read_buckets(spark: SparkSession, name: str) -> DataFrame:
-    return spark.table(name)
+def laid_out(df: DataFrame, key: str, label: str = "table") -> DataFrame:
+    """``df`` written by ``key`` and read back."""
+    dealt = df.repartition(shuffle_partitions(df), key)
+    return df.sparkSession.table(write_buckets(dealt, key, label, sort=True))

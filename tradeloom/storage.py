@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 _used: set[str] = set()
+_named: list[str] = []
 
 
 def _drop_at_exit(spark: SparkSession) -> None:
     """Delete the application's tables when its driver ends, if the session is still there."""
     try:
+        for name in _named:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         drop_tables(spark)
     except Exception:  # the session is gone: the tables stay until the folder is cleaned
         pass
@@ -45,6 +48,19 @@ def work_folder(spark: SparkSession) -> str:
     return _local_root
 
 
+def write_buckets(df: DataFrame, key: str, label: str, sort: bool = False) -> str:
+    """Write ``df``, which is dealt by ``key`` already or not, in buckets of it; gives the table's name, which is forgotten at the end.
+
+    The number of buckets is that of shuffle partitions, so that a frame dealt by the key makes one file for each.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    (writer.sortBy(key) if sort else writer).option("path", f"{work_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    _named.append(name)
+    return name
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
