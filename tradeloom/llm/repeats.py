@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.llm.common import bound_batches, parts_for
-from tradeloom.storage import materialize, work_folder
+from tradeloom.storage import materialize, write_buckets
 
 WINDOW = 35
 PREFIX = 16
@@ -298,14 +297,6 @@ def _passages(window: int, prefix: int):
     return run
 
 
-def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """The table written in buckets by ``key``, so that later joins on it do not move its rows."""
-    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    path = f"{work_folder(spark)}/{name}"
-    df.write.bucketBy(parts_for(df), key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
 def repeated_passages(
     df: DataFrame, ids: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, often: int = OFTEN
 ) -> DataFrame:
@@ -318,7 +309,8 @@ def repeated_passages(
     rows = materialize(df.select(F.col(f"`{ids}`").alias("doc_id"), doc.alias("doc"), check.alias("check")), "repeats-rows")
     different = df.select(doc.alias("doc"), t.alias("text")).groupBy("doc").agg(F.sort_array(F.collect_set("text")).alias("texts"))
     texts = different.select("doc", F.posexplode("texts").alias("tie", "text"))  # hashes that clash are told apart by ``tie``
-    texts = _bucketed(texts.select("doc", "tie", F.xxhash64(F.lit(SEED), "text").alias("check"), "text"), "doc", "repeats_texts")
+    texts = texts.select("doc", "tie", F.xxhash64(F.lit(SEED), "text").alias("check"), "text")
+    texts = df.sparkSession.table(write_buckets(texts, "doc", "repeats_texts"))
 
     counted = texts.select("doc", "text").mapInArrow(_pieces(window, prefix, often), "kind tinyint, key bigint, other bigint")
     counted = counted.repartition(n, "key").sortWithinPartitions("kind", "key")
