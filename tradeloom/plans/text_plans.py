@@ -759,6 +759,7 @@ def in_month(month: tuple[int, int]):
 def _(t):
     path, keys = folder(t, "email_log"), ["received_year", "received_month"]
     log = t.email_log().withColumns({"received_year": F.year("received_at"), "received_month": F.month("received_at")})
+    log = log.repartition(*keys)  # one file for each month
     ready = F.col("processing_status") == "READY_TO_INSERT"
     versions.commit(log.where(ready), path, keys, replaced=[])
     versions.commit(log.where(~F.coalesce(ready, F.lit(False))), path, keys, replaced=[])
