@@ -73,8 +73,13 @@ def last_total(body: Column) -> Column:
     return clean_money(F.try_element_at(amounts, F.lit(-1)))
 
 
+def is_bare_code(stripped: Column) -> Column:
+    """``is_product_code`` for text without blanks on its ends."""
+    return F.coalesce(stripped.rlike(r"^[A-Za-z0-9][A-Za-z0-9.]{5,25}\z"), F.lit(False))
+
+
 def is_product_code(text: Column) -> Column:
-    return F.coalesce(strip(text).rlike(r"^[A-Za-z0-9][A-Za-z0-9.]{5,25}\z"), F.lit(False))
+    return is_bare_code(strip(text))
 
 
 def title_case(text: Column) -> Column:
