@@ -31,3 +31,13 @@ def test_invoice_lines_are_cleaned_once(spark):
         (1, "TP0099.0000012", Decimal(3), Decimal(12000), Decimal(36000)), (5, "AB00012", Decimal("2.5"), Decimal(7), Decimal(17)),
     ]
     assert not [n for n in nodes(found) if n.nodeName() == "Filter" and "regexp_replace" in n.condition().toString()]
+
+
+def test_joins_of_the_fact_move_raw_columns(spark, folder):
+    fact = StarTables(spark, folder).fact()
+    assert fact.columns == FACT_COLUMNS
+    joins = [n for n in nodes(fact) if n.nodeName() == "Join"]
+    assert len(joins) >= 4
+    moved = {part.split("#")[0] for n in joins for side in (n.left(), n.right()) for part in side.output().mkString(",").split(",")}
+    assert "l_extendedprice" in moved
+    assert not moved & (set(FACT_COLUMNS) - {"province_name", "region"})
