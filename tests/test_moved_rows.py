@@ -41,3 +41,14 @@ def test_joins_of_the_fact_move_raw_columns(spark, folder):
     moved = {part.split("#")[0] for n in joins for side in (n.left(), n.right()) for part in side.output().mkString(",").split(",")}
     assert "l_extendedprice" in moved
     assert not moved & (set(FACT_COLUMNS) - {"province_name", "region"})
+
+
+def test_windows_over_json_pieces_carry_no_copies_of_the_text(spark, tmp_path):
+    orders = [{"so": f'a"}}{{{i}\\', "lines": [{"n": str(i)}, {"n": "}"}]} for i in range(50)]
+    for at in range(2):
+        (tmp_path / f"{at}.json").write_text(json.dumps({"note": '{"', "ready_orders": orders[at::2], "other": [{"x": "1"}]}))
+    found = splits.json_elements(spark, str(tmp_path))
+    texts = [r["text"] for r in found.where(F.col("field") == "ready_orders").collect()]
+    assert sorted(texts) == sorted(json.dumps(o) for o in orders)
+    carried = [n.output().mkString(",") for n in nodes(found) if n.nodeName() == "Window"]
+    assert carried and not [c for c in carried if "full#" in c or "header#" in c]
